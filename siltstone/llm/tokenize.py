@@ -104,7 +104,13 @@ def encode_word(word: Column, ranks: Column) -> Column:
 
 
 def coded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str) -> DataFrame:
-    """(key, codes, missing): ids of words that are tokens; -k for the k-th other word."""
+    """(key, small, large, missing): ids of words that are tokens, and what stands for the others.
+
+    Codes travel as 16-bit numbers (``small``), ids counted from below and the k-th missing word
+    from above, which halves what is shuffled.  A document with more missing words than there are
+    numbers above the vocabulary has integers instead (``large``), with -k for the k-th of them.
+    """
+    top = max(ranks.values())
     whole = {}
     for piece, rank in ranks.items():
         try:
@@ -117,34 +123,62 @@ def coded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str) -> DataFr
     missing = found.select(
         key, "w", "c", F.array_distinct(F.filter("w", lambda w, i: F.get(F.col("c"), i).isNull())).alias("missing")
     )
-    codes = F.transform(
-        "c", lambda c, i: F.coalesce(c, -F.array_position(F.col("missing"), F.get(F.col("w"), i)).cast("int"))
-    )
-    return missing.select(key, codes.alias("codes"), "missing")
+    place = lambda i: F.array_position(F.col("missing"), F.get(F.col("w"), i)).cast("int")
+    fits = F.size("missing") < max(0, (1 << 16) - 1 - top)
+    small = F.transform("c", lambda c, i: F.coalesce(c - (1 << 15), (1 << 15) - place(i)).cast("smallint"))
+    large = F.transform("c", lambda c, i: F.coalesce(c, -place(i)))
+    return missing.select(key, F.when(fits, small).alias("small"), F.when(~fits, large).alias("large"), "missing")
 
 
 def encode(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row of ``df``; see the module's docstring for the defined results."""
     ranks = read_ranks(vocabulary)
-    rows = materialize(
-        coded(spread(df.select(key, text)), ranks, key, text).withColumn("row", F.monotonically_increasing_id()), "codes"
-    )
+    top = max(ranks.values())
+    first = coded(spread(df.select(key, text)), ranks, key, text)
+    rows = materialize(first.withColumn("row", F.monotonically_increasing_id()), "codes")
     merges = _literal({piece.decode("latin-1"): rank for piece, rank in ranks.items()})
     used = rows.where(F.size("missing") > 0).select("row", F.posexplode("missing").alias("k", "word"))
     learned = used.select("word").distinct().select("word", encode_word(F.col("word"), merges).alias("ids"))
+    # both sides of either join are hashed by unique keys; hash joins save the sorts
     spelled = (
-        used.join(learned, "word")
+        used.join(learned.hint("shuffle_hash"), "word")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("spelled"))
     )
-    ids = F.flatten(
-        F.transform(
-            "codes",
-            lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("spelled"), -c - 1)["ids"]),
-        )
+    word = lambda k: F.get(F.col("spelled"), k)["ids"]
+    small = F.transform(
+        "small",
+        lambda c: F.when(c <= top - (1 << 15), F.array(c.cast("int") + (1 << 15))).otherwise(word((1 << 15) - 1 - c)),
+    )
+    large = F.transform("large", lambda c: F.when(c >= 0, F.array(c)).otherwise(word(-c - 1)))
+    return (
+        rows.select(key, "row", "small", "large")
+        .join(spelled.hint("shuffle_hash"), "row", "left")
+        .select(key, F.flatten(F.coalesce(small, large)).alias("ids"))
+    )
+
+
+def count_tokens(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, tokens) of every row: as long as the lists of ``encode``, without moving the lists."""
+    ranks = read_ranks(vocabulary)
+    whole = {}
+    for piece, rank in ranks.items():
+        try:
+            whole[piece.decode()] = rank
+        except UnicodeDecodeError:
+            pass
+    table = _literal(whole)
+    words = spread(df.select(key, text)).select(
+        key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), 0).alias("w")
     )
-    return rows.join(spelled, "row", "left").select(
-        key, F.when(F.size("missing") == 0, F.col("codes")).otherwise(ids).alias("ids")
+    split = words.select(key, F.size("w").alias("n"), F.filter("w", lambda w: _lookup(table, w).isNull()).alias("missing"))
+    rows = materialize(split.withColumn("row", F.monotonically_increasing_id()), "missing")
+    merges = _literal({piece.decode("latin-1"): rank for piece, rank in ranks.items()})
+    used = rows.select("row", F.explode("missing").alias("word"))
+    learned = used.select("word").distinct().select("word", F.size(encode_word(F.col("word"), merges)).alias("t"))
+    extra = used.join(learned.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("t") - 1).alias("extra"))
+    return rows.select(key, "row", "n").join(extra, "row", "left").select(
+        key, (F.col("n") + F.coalesce("extra", F.lit(0))).cast("int").alias("tokens")
     )
 
 
