@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokenize", "packing", "quality")
+MODULES = ("tokenize", "packing", "quality", "spans", "neardup")
 
 
 def _gather(attribute: str) -> dict:
