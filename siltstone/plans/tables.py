@@ -8,6 +8,8 @@ used.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,8 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application.
+
+    The driver serves the archive to the executors itself; nothing needs to be installed there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_siltstone_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.gettempdir(), f"siltstone-{uuid.uuid4().hex}")
+    context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), "siltstone"))
+    context._siltstone_shipped = True
+
+
 def scan(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Parquet scan of one table, projected to ``columns``."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
