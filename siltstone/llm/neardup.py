@@ -148,14 +148,19 @@ def _rows(columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "id", "n", "digest", "point"])
 
 
-def _enter(rarity: np.ndarray, t: float, block: int):
-    """Rows (key, block pair, id, n, place) for the children of the root that a record enters."""
+def _enter(rarity: np.ndarray, t: float, block: int, buckets: int):
+    """Rows (bucket, keys, docs, ids) with the children of the root that records enter.
+
+    One row holds all entries of a batch in one bucket: 40 bits of each key, the place of its
+    record in ``ids``.  Keys that agree in 40 bits by chance only make a child larger.
+    """
     blocks = np.maximum(1, -(-rarity // block))
 
     def run(batches):
         for batch in batches:
-            parts = []
-            for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+            parts, docs = [], []
+            keys_of, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
+            for i, (key, text) in enumerate(zip(keys_of, texts)):
                 x = sequences(text)
                 n = len(x)
                 if not n:
@@ -163,34 +168,98 @@ def _enter(rarity: np.ndarray, t: float, block: int):
                 group = (x >> 8) & (RARITY - 1)
                 take = n - int(np.ceil(t * n - 1e-9)) + 1
                 order = np.lexsort((x, rarity[group]))[:take]
-                keys, many = x[order], blocks[group[order]]
-                place = np.arange(take, dtype=np.int64)
-                if many.max() == 1:
-                    parts.append((keys, np.zeros(take, np.int32), np.full(take, key), place | (n << 32)))
-                    continue
-                for k, m, p in zip(keys.tolist(), many.tolist(), place.tolist()):
-                    mine = key * 0x9E3779B1 % (1 << 32) % m
-                    other = np.arange(m)
-                    pair = (np.minimum(other, mine) * m + np.maximum(other, mine)).astype(np.int32)
-                    parts.append((np.full(m, k), pair, np.full(m, key), np.full(m, p | (n << 32))))
-            if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*parts)], ["key", "part", "id", "size"]
-                )
+                keys, many = x[order].view(np.uint64), blocks[group[order]]
+                if many.max() > 1:
+                    mine = key * 0x9E3779B1 % (1 << 32) % many
+                    each = np.repeat(np.arange(take), many)
+                    other = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                    pair = np.minimum(other, mine[each]) * (1 << 20) + np.maximum(other, mine[each])
+                    keys = keys[each] ^ (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                parts.append(keys)
+                docs.append(np.full(len(keys), i, np.int32))
+            if not parts:
+                continue
+            keys, docs = np.concatenate(parts), np.concatenate(docs)
+            home = (keys % np.uint64(buckets)).astype(np.int64)
+            keys = keys >> np.uint64(24)
+            order = np.lexsort((keys, home))
+            home, keys, docs = home[order], keys[order], docs[order]
+            ids = np.array(keys_of, np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])).tolist() + [len(home)]
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+            for lo, hi in zip(cut, cut[1:]):
+                own, place = np.unique(docs[lo:hi], return_inverse=True)
+                k = keys[lo:hi]
+                rows[0].append(int(home[lo]))
+                rows[1].append((k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (k >> np.uint64(32)).astype(np.uint8).tobytes())
+                rows[2].append(place.astype("<u2" if len(own) < 65536 else "<u4").tobytes())
+                rows[3].append(ids[own].tobytes())
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(rows, kinds)], ["bucket", "keys", "docs", "ids"])
 
     return run
 
 
-def _whole_groups(batches, columns: tuple[str, ...]):
-    """Tables of whole groups from batches sorted by ``columns``."""
+ENTERED = "bucket bigint, keys binary, docs binary, ids binary"
+
+
+def _read_entries(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, id) of the entries of one bucket."""
+    keys, owners = [], []
+    for k, d, i in rows:
+        n = len(k) // 5
+        keys.append(np.frombuffer(k, "<u4", n).astype(np.int64) | (np.frombuffer(k, np.uint8, n, 4 * n).astype(np.int64) << 32))
+        owners.append(np.frombuffer(i, np.int64)[np.frombuffer(d, "<u2" if len(d) == 2 * n else "<u4")])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _populated(batches):
+    """(key, id) of the children with several records, from rows sorted by bucket.
+
+    Children with the same records as another of the bucket are dropped: similar records share
+    most of their sequences, and one tree finds what the others would.
+    """
+
+    def children(bucket, rows):
+        keys, ids = _read_entries(rows)
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+        keys, ids = keys[fresh], ids[fresh]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count = np.diff(np.concatenate([first, [len(keys)]]))
+        with np.errstate(over="ignore"):
+            mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            sums = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), first)
+        several = np.flatnonzero(count > 1)
+        _, one = np.unique(np.stack([sums[several], count[several].astype(np.uint64)], 1), axis=0, return_index=True)
+        keep = np.zeros(len(first), bool)
+        keep[several[one]] = True
+        keep = np.repeat(keep, count)
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep] | (bucket << 40)), pa.array(ids[keep])], ["key", "id"])
+
+    now, rows = None, []
+    for batch in batches:
+        columns = (batch[c].to_pylist() for c in ("bucket", "keys", "docs", "ids"))
+        for bucket, k, d, i in zip(*columns):
+            if bucket != now and rows:
+                yield children(now, rows)
+                rows = []
+            now = bucket
+            rows.append((k, d, i))
+    if rows:
+        yield children(now, rows)
+
+
+def _whole_groups(batches):
+    """Tables of whole children from batches sorted by key."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = pa.concat_tables([held, table]) if held is not None else table
-        keys = [held[c].to_numpy() for c in columns]
-        differs = np.zeros(held.num_rows, bool)
-        for k in keys:
-            differs |= k != k[-1]
+        keys = held["key"].to_numpy()
+        differs = keys != keys[-1]
         cut = held.num_rows - int(np.argmax(differs[::-1])) if differs.any() else 0
         if cut:
             yield held.slice(0, cut).combine_chunks()
@@ -200,29 +269,19 @@ def _whole_groups(batches, columns: tuple[str, ...]):
 
 
 def _bounds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of each (key, part) group."""
-    key, part = table["key"].to_numpy(), table["part"].to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+    """Start and size of each child."""
+    key = table["key"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return first, np.diff(np.concatenate([first, [len(key)]]))
 
 
-def _populated(batches):
-    """Drop children with one record: they cannot hold a pair."""
-    for table in _whole_groups(batches, ("key", "part")):
-        first, count = _bounds(table)
-        keep = np.repeat(count > 1, count)
-        if keep.any():
-            yield from table.filter(pa.array(keep)).to_batches()
-
-
 def _search(t: float):
     """Pairs that survive the trees of the children."""
 
     def run(batches):
-        for table in _whole_groups(batches, ("key", "part")):
+        for table in _whole_groups(batches):
             ids = table["id"].to_numpy()
-            size = table["size"].to_numpy()
-            n, place = size >> 32, size & 0xFFFFFFFF
+            n = table["n"].to_numpy()
             points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u2").reshape(len(ids), DIMENSIONS)
             first, count = _bounds(table)
             found = []
@@ -232,7 +291,6 @@ def _search(t: float):
                 a = np.repeat(f, c - gap) + (np.arange((c - gap).sum()) - np.repeat(np.cumsum(c - gap) - (c - gap), c - gap))
                 b = a + gap
                 need = needed(n[a] + n[b], t)
-                # what precedes this sequence in both records was no match of a pair first met here
                 keep = np.minimum(n[a], n[b]) >= need
                 a, b, need = a[keep], b[keep], need[keep]
                 keep = overlap(points[a], points[b]) >= need
@@ -289,14 +347,17 @@ def similar(records: DataFrame, t: float = THRESHOLD, block: int = BLOCK) -> tup
     copies = materialize(members.where("id <> rep").select("id"), "copies")
     single = texts.join(copies, "id", "left_anti")
 
-    entered = single.mapInArrow(_enter(rarity, t, block), "key bigint, part int, id bigint, size bigint")
+    # about this many entries to a bucket, which a task holds at once
+    total = docs.agg(F.sum(F.col("n") * (1 - t) + 2)).first()[0] or 0
+    buckets = max(12, int(total // 400_000) + 1)
     shared = (
-        entered.repartition("key", "part")
-        .sortWithinPartitions("key", "part")
-        .mapInArrow(_populated, "key bigint, part int, id bigint, size bigint")
+        single.mapInArrow(_enter(rarity, t, block, buckets), ENTERED)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_populated, "key bigint, id bigint")
     )
-    points = docs.join(copies, "id", "left_anti").select("id", "point").dropDuplicates(["id"])
-    children = shared.join(points, "id").repartition("key", "part").sortWithinPartitions("key", "part")
+    points = docs.join(copies, "id", "left_anti").select("id", "n", "point").dropDuplicates(["id"])
+    children = shared.join(points, "id").repartition("key").sortWithinPartitions("key")
     pairs = materialize(children.mapInArrow(_search(t), "a bigint, b bigint").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(
