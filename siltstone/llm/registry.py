@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokenize", "packing", "quality", "spans", "neardup")
+MODULES = ("provenance", "spans", "neardup", "tokenize", "packing", "quality")
 
 
 def _gather(attribute: str) -> dict:
