@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("provenance", "spans", "neardup", "tokenize", "packing", "quality")
+MODULES = ("provenance", "credentials", "spans", "neardup", "tokenize", "packing", "quality")
 
 
 def _gather(attribute: str) -> dict:
