@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("provenance", "credentials", "spans", "neardup", "parsing", "tokenize", "packing", "quality")
+MODULES = ("provenance", "docpairs", "credentials", "spans", "neardup", "parsing", "tokenize", "packing", "quality")
 
 
 def _gather(attribute: str) -> dict:
