@@ -64,13 +64,11 @@ class Grammar:
                     at += 1
                     if mark == "?":
                         item = self._helper([(item,), ()])
+                    elif mark == "*":
+                        item = ("*", item)
                     else:
-                        loop = f"_{len(self.rules)}"
-                        self.rules[loop] = [(item, loop), ()]
-                        if mark == "*":
-                            item = loop
-                        else:
-                            item = self._helper([(item, loop)])
+                        now.append(item)
+                        item = ("*", item)
                 now.append(item)
             out.append(tuple(now))
             return out
@@ -87,7 +85,9 @@ class Grammar:
         pairs = {"P": "(", "B": "{", "S": "[", "I": "I"}
         self.inside: dict[str, list[str]] = {b: [] for b in pairs.values()}
 
-        def symbol(s: str):
+        def symbol(s):
+            if s.__class__ is tuple:
+                return ("*", symbol(s[1]))
             if s in self.rules:
                 return s
             if s[0] == "'":
@@ -123,7 +123,13 @@ class Grammar:
             for a in alts:
                 got, empty = self._first(a, first, nullable)
                 self.starts[n].append((len(self.slots), None if empty else frozenset(got)))
-                self.slots += [*a, None]
+                for x in a:
+                    if x[0] == "*":  # a loop within the production: past it, or once more through it
+                        at = len(self.slots)
+                        self.slots += [("f", at + 3), x[1], ("j", at)]
+                    else:
+                        self.slots.append(x)
+                self.slots.append(None)
         self.memo: dict[tuple, bool] = {}
         self.classes: dict[tuple, int] = {}
         self.groups: list[tuple[str, frozenset]] = []
@@ -133,7 +139,9 @@ class Grammar:
     def _first(symbols, first, nullable) -> tuple[set, bool]:
         out: set = set()
         for s in symbols:
-            if isinstance(s, str):
+            if s[0] == "*":
+                out |= first[s[1]] if s[1].__class__ is str else {s[1][1]}
+            elif isinstance(s, str):
                 out |= first[s]
                 if s not in nullable:
                     return out, False
@@ -193,9 +201,21 @@ class Grammar:
                 if s.__class__ is str:
                     call(s, pos, (slot + 1, key))
                     break
+                kind = s[0]
+                if kind == "f":
+                    d = (~slot, key, pos)  # once from each position
+                    if d in seen:
+                        break
+                    seen.add(d)
+                    work.append((s[1], key, pos))
+                    slot += 1
+                    continue
+                if kind == "j":
+                    slot = s[1]
+                    continue
                 if look[pos] != s[1]:
                     break
-                if s[0] == "g" and s[2] not in groups[tokens[pos]][1]:
+                if kind == "g" and s[2] not in groups[tokens[pos]][1]:
                     break
                 pos += 1
                 slot += 1

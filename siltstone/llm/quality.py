@@ -324,8 +324,8 @@ with d as (
   select doc_id, coalesce(text, '') as t from documents
 ), b as (
   select doc_id, t,
-    list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), x -> x <> '') as w,
-    list_filter(regexp_split_to_array(t, '\r?\n'), x -> regexp_matches(x, '[^\s\x0b]')) as ls,
+    list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), lambda x: x <> '') as w,
+    list_filter(regexp_split_to_array(t, '\r?\n'), lambda x: regexp_matches(x, '[^\s\x0b]')) as ls,
     length(regexp_replace(t, '[\p{L}\p{N}\s\x0b]', '', 'g')) as symbols,
     length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) as letters
   from d
@@ -333,8 +333,8 @@ with d as (
 select doc_id, len(w)::bigint as word_count,
   case when len(w) > 0 then letters / len(w) end as mean_word_length,
   case when letters + symbols > 0 then symbols / (letters + symbols) end as symbol_share,
-  case when len(ls) > 0 then len(list_filter(ls, x -> regexp_matches(x, '[.!?:;。!?][\s\x0b]*$'))) / len(ls) end as punctuated_share,
-  case when len(w) > 0 then len(list_filter(w, x -> list_contains(cw, x))) / len(w) end as common_share
+  case when len(ls) > 0 then len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;。!?][\s\x0b]*$'))) / len(ls) end as punctuated_share,
+  case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(cw, x))) / len(w) end as common_share
 from b, c
 """,
 }
