@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("operators.hygiene", "operators.history", "operators.metrics")
+MODULES: tuple[str, ...] = ("operators.hygiene", "operators.history", "operators.metrics", "operators.markdown", "operators.crossfile")
 
 
 def _gather(attribute: str) -> dict:
