@@ -130,7 +130,7 @@ class Grammar:
                     else:
                         self.slots.append(x)
                 self.slots.append(None)
-        self.memo: dict[tuple, bool] = {}
+        self.memo: dict[tuple, int] = {}
         self.classes: dict[tuple, int] = {}
         self.groups: list[tuple[str, frozenset]] = []
         self.known: dict[tuple, int] = {}
@@ -150,9 +150,13 @@ class Grammar:
                 return out, False
         return out, True
 
-    def recognise(self, name: str, tokens: tuple) -> bool:
-        """Does the nonterminal derive the whole sequence?  (terminals, or numbers of groups)"""
+    def recognise(self, name: str, tokens: tuple) -> int:
+        """2: the nonterminal derives the sequence; 1: it may derive one that begins with it; 0: neither.
+
+        Tokens are terminals, or numbers of groups.
+        """
         n = len(tokens)
+        reached = not n
         slots, starts, groups = self.slots, self.starts, self.groups
         look = [t if t.__class__ is str else groups[t][0] for t in tokens]
         look.append("")
@@ -190,7 +194,7 @@ class Grammar:
                     if pos not in ends:
                         ends.add(pos)
                         if goal is ends and pos == n:
-                            return True
+                            return 2
                         for back in returns:
                             if back is not None:
                                 d = (back[0], back[1], pos)
@@ -219,15 +223,21 @@ class Grammar:
                     break
                 pos += 1
                 slot += 1
-        return n in goal
+                if pos == n:
+                    reached = True
+        return 2 if n in goal else 1 if reached else 0
 
     def derives(self, name: str, tokens: tuple) -> bool:
-        """Like ``recognise``, remembered, and with lists split into their elements."""
+        """Does the nonterminal derive the whole sequence?  Lists are split into their elements."""
         if name == "Tree":
             return True  # any tokens with paired brackets
         form = self.lists.get(name)
         if form is not None:
             return self._list(form[0], form[1], tokens)
+        return self._state(name, tokens) == 2
+
+    def _state(self, name: str, tokens: tuple) -> int:
+        """``recognise``, remembered."""
         key = (name, tokens)
         found = self.memo.get(key)
         if found is None:
@@ -285,9 +295,12 @@ class Grammar:
         at, k = 0, 0
         while k < len(ends):
             for to in range(k, min(k + 6, len(ends))):
-                if self.derives(element, tokens[at : ends[to]]):
+                state = self._state(element, tokens[at : ends[to]])
+                if state == 2:
                     at, k = ends[to], to + 1
                     break
+                if state == 0:
+                    return False  # nothing that follows can mend it
             else:
                 return self.derives(element, tokens[at:])
         return True

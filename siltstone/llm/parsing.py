@@ -43,6 +43,7 @@ _STRING = {
 }
 _SPLIT_OPS = {">>=": (">", ">", "="), ">=": (">", "="), ">>": (">", ">")}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
+_SPECIAL = frozenset("()[]{}")
 
 #: After these an end of line can end a statement ...
 _ENDS = {
@@ -86,6 +87,10 @@ def parses(text: str, dialect: str) -> bool:
         return False
 
 
+#: Terminals of words and operators seen so far, by dialect.
+_TERMINALS: dict[str, dict[str, tuple[str, ...]]] = {}
+
+
 class _Reject(Exception):
     pass
 
@@ -141,11 +146,20 @@ def _braces(text: str, dialect: str) -> bool:
     now = stack[0][1]
     at, prior = 0, ""
     rust = dialect == "rs"
+    known = _TERMINALS.setdefault(dialect, {})
     for m in MASTER[FAMILY_OF[dialect]].finditer(text):
         kind = m.lastgroup
         if kind == "c":
             continue
-        new = _terminals(m, dialect, words)
+        if kind == "w" or kind == "o":
+            s = m.group()
+            new = known.get(s)
+            if new is None:
+                if len(known) > 100_000:
+                    known.clear()
+                new = known[s] = _terminals(m, dialect, words)
+        else:
+            new = _terminals(m, dialect, words)
         start = m.start()
         if rust and len(new) == 1:
             t = new[0]
@@ -163,7 +177,10 @@ def _braces(text: str, dialect: str) -> bool:
             if go or (bracket not in ("(", "[") and first not in _NO_NL and not (first in ")]}")):
                 now.append("NL")
         for t in new:
-            if t in ("(", "[", "{"):
+            if t not in _SPECIAL and not soft:
+                now.append(t)
+                prior = t
+            elif t in ("(", "[", "{"):
                 stack.append((t, []))
                 now = stack[-1][1]
                 prior = ""
