@@ -348,7 +348,7 @@ def _assign(scores: dict[tuple[int, int], float]) -> dict[int, int]:
 def pairs(text: str | None, path: str | None, check: bool = True, trivial: bool = False) -> list[tuple[int, int, str, str, str, int, int]]:
     """(line, documentation line, name, description, code, documentation lines, code lines)."""
     ext = extension(path)
-    if not text or ext not in LANGUAGES or (check and not valid(path, text)):
+    if not text or ext not in LANGUAGES:
         return []
     family = FAMILY[ext]
     tokens = lex(text, family)
@@ -378,6 +378,8 @@ def pairs(text: str | None, path: str | None, check: bool = True, trivial: bool
             start, end = tokens[fn.first][1], tokens[min(fn.last, len(tokens) - 1)][2]
             code = text[start:end]
             out.append((line_of(tokens[fn.at][1]), line_of(a), fn.name, words, code, line_of(b - 1) - line_of(a) + 1, code.count("\n") + 1))
+    if out and check and not valid(path, text):
+        return []  # asked last, as it is the dearest question
     return sorted(out)
 
 
