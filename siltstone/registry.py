@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("operators.hygiene", "operators.history", "operators.metrics", "operators.markdown", "operators.crossfile")
+MODULES: tuple[str, ...] = (
+    "operators.hygiene",
+    "operators.structure",
+    "operators.repomap",
+    "operators.history",
+    "operators.metrics",
+    "operators.markdown",
+    "operators.crossfile",
+    "operators.suppression",
+    "operators.project",
+    "operators.reports",
+)
 
 
 def _gather(attribute: str) -> dict:
