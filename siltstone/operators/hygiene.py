@@ -13,21 +13,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.dialect import globs, java, quote, re2
-from siltstone.functions.rules import ALWAYS_EXCLUDED, RULES, SECRET_CANDIDATE, SECRET_REJECTED, SEVERITIES, WITHOUT_LOOKAHEAD, Rule
-from siltstone.plans import materialize
+from siltstone.functions.rules import ALWAYS_EXCLUDED, HINTS, RULES, SECRET_CANDIDATE, SECRET_REJECTED, SEVERITIES, WITHOUT_LOOKAHEAD, Rule
+from siltstone.plans import spread
 from siltstone.sources.repository import EXCLUDED_SQL, LANGUAGE_SQL, LATEST_FILES, TEST_SQL, extension, files, in_excluded_dir, is_test, language, lines
 
 _FAMILY = {"javascript": "js", None: None}
 
 
 def active(runs: bool = False) -> list[Rule]:
-    """Rules that one line can decide (or, with ``runs``, those that need several in a row)."""
-    return [r for r in RULES if r.pattern and not r.multi_pass and (r.run > 0) == runs]
+    """Rules that one line can decide (or, with ``runs``, those that need several in a row).
+
+    ``multiple_blank_lines`` asks for line ends within a line, so no line can match it.
+    """
+    return [r for r in RULES if r.name != "multiple_blank_lines" and r.pattern and not r.multi_pass and (r.run > 0) == runs]
 
 
 def _gate(rule: Rule):
     """May the rule apply to a file of this path, language and content?"""
     gate = F.col("content").rlike(java(rule.pattern, rule.ignore_case, multiline=True))
+    if rule.name in HINTS:
+        hinted = F.lit(False)
+        for hint in HINTS[rule.name]:
+            hinted = hinted | F.contains(F.col("low"), F.lit(hint))
+        gate = hinted & gate
     if rule.language:
         gate = (F.col("lang") == _FAMILY.get(rule.language, rule.language)) & gate
     if rule.exclude:
@@ -39,7 +47,7 @@ def line_hits(source: DataFrame, rules: list[Rule]) -> DataFrame:
     """(file_id, path, rule, line, content) of every line that a rule matches; rule by number."""
     numbers = {r.name: i for i, r in enumerate(RULES)}
     base = source.where(F.col("content").isNotNull() & (F.col("content") != "") & ~F.col("path").rlike(globs(ALWAYS_EXCLUDED)))
-    base = base.select("file_id", "path", "content", language(F.col("path")).alias("lang"))
+    base = base.select("file_id", "path", "content", language(F.col("path")).alias("lang"), F.lower("content").alias("low"))
     split = base.select("*", lines(F.col("content")).alias("lines"))
     none = F.array().cast("array<struct<rule:int,line:int,text:string>>")
 
@@ -72,13 +80,13 @@ def line_hits(source: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every file that a rule of the core pack matches."""
-    return line_hits(files(spark, sf_dir), active())
+    return line_hits(spread(files(spark, sf_dir).select("file_id", "path", "content")), active())
 
 
 def finding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal blocks of consecutive lines that match a rule for runs, of at least its length."""
     rules = active(runs=True)
-    hits = line_hits(files(spark, sf_dir), rules)
+    hits = line_hits(spread(files(spark, sf_dir).select("file_id", "path", "content")), rules)
     least = F.array(*(F.lit(r.run) for r in rules))
     order = Window.partitionBy("file_id", "rule").orderBy("line")
     island = hits.withColumn("island", F.col("line") - F.row_number().over(order))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.dialect import quote
-from siltstone.operators.hygiene import _FOUND, line_hits, active
+from siltstone.operators.hygiene import _FOUND, active, line_hits
+from siltstone.plans import spread
 from siltstone.sources.repository import files
 
 INLINE = r"(?:<!--|//|#)[ \t]*enhance:ignore[ \t]+([\w-]+)"
@@ -84,14 +85,14 @@ EXAMPLE = Config(
 
 def suppression_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings per rule and reason of suppression, under an example configuration."""
-    f = files(spark, sf_dir)
+    f = spread(files(spark, sf_dir).select("file_id", "path", "content"))
     split = split_findings(line_hits(f, active()), f, EXAMPLE)
     return split.groupBy("rule", "severity", F.coalesce("suppressed_by", F.lit("active")).alias("state")).agg(F.count("*").alias("n"))
 
 
 def doubtful_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each rule's findings that lie in tests and the like, as the learner sees it."""
-    return learn(line_hits(files(spark, sf_dir), active()), confidence=0.0, least=1)
+    return learn(line_hits(spread(files(spark, sf_dir).select("file_id", "path", "content")), active()), confidence=0.0, least=1)
 
 
 _GLOBS = "|".join(map(path_glob, EXAMPLE.globs))
