@@ -12,6 +12,7 @@ MODULES: tuple[str, ...] = (
     "operators.metrics",
     "operators.markdown",
     "operators.crossfile",
+    "operators.prompt_rules",
     "operators.suppression",
     "operators.project",
     "operators.reports",
