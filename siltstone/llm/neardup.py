@@ -386,8 +386,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
     b = members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
     across = links.join(a, "a").join(b, "b").select("i", "j")
-    copied = members.where("id <> rep").select("rep").distinct()
-    inside = a.join(copied.withColumnRenamed("rep", "a"), "a", "left_semi").join(b, F.col("a") == F.col("b")).where("i < j")
+    # the pairs of a class are made in as many tasks as its size asks for
+    sizes = members.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / 1000).cast("int")
+    several = members.join(sizes, "rep").withColumn("parts", parts)
+    one = several.select("rep", F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    all_ = several.select("rep", F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = one.join(all_, ["rep", "part"]).where("i < j")
     return across.unionByName(inside.select("i", "j")).select(
         F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")
     )
