@@ -7,7 +7,7 @@ ranks from a literal rank map) and come back to their documents by a join on the
 runs on an executor.
 
 A piece is held as the Latin-1 string of its bytes, so that concatenating strings concatenates
-bytes.  The literal maps are arrays of small maps, addressed by ``crc32``: a Spark map is searched
+bytes.  The literal maps are arrays of small maps, addressed by ``hash``: a Spark map is searched
 linearly, so one map of 50,000 entries would be far too slow.
 
 Defined results: a null or empty text has the empty list; equal texts have equal lists; every row
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,16 +43,38 @@ def read_ranks(path: str = DEFAULT_VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _spark_hash(data: bytes) -> int:
+    """What Spark's ``hash`` gives for a string: Murmur3 by words of four bytes, then byte by byte."""
+    mask = 0xFFFFFFFF
+
+    def mixed(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) & mask
+        h ^= k * 0x1B873593 & mask
+        h = (h << 13 | h >> 19) & mask
+        return (h * 5 + 0xE6546B64) & mask
+
+    h, n = 42, len(data)
+    for i in range(0, n - n % 4, 4):
+        h = mixed(h, int.from_bytes(data[i : i + 4], "little"))
+    for b in data[n - n % 4 :]:
+        h = mixed(h, b if b < 128 else b | 0xFFFFFF00)
+    h ^= n
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
 def _literal(entries: dict[str, int]) -> Column:
     """``entries`` as one literal: an array of BUCKETS small maps, folded from JSON once."""
     table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for key, value in entries.items():
-        table[zlib.crc32(key.encode()) % BUCKETS][key] = value
+        table[_spark_hash(key.encode()) % BUCKETS][key] = value
     return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
 
 
 def _lookup(table: Column, key: Column) -> Column:
-    return F.element_at(table, (F.crc32(key.cast("binary")) % BUCKETS + 1).cast("int"))[key]
+    return F.get(table, F.hash(key).bitwiseAND(BUCKETS - 1))[key]
 
 
 def _let(value: Column, body) -> Column:
@@ -87,8 +108,15 @@ def _merged(state: Column, rank) -> Column:
     return F.when(F.array_min(state["r"]).isNull(), state).otherwise(_let(j, at))
 
 
-def encode_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word: its bytes, folded by ranked merges."""
+def encode_word(word: Column, table: Column) -> Column:
+    """Ids of one word: its bytes, folded by ranked merges.
+
+    The table is bound once: each place that named it would ship a copy of it with every task.
+    """
+    return _let(table, lambda ranks: _fold(word, ranks))
+
+
+def _fold(word: Column, ranks: Column) -> Column:
     rank = lambda piece: _lookup(ranks, piece)
     latin = F.decode(word.cast("binary"), "ISO-8859-1")
     start = _let(
