@@ -65,12 +65,12 @@ def _spark_hash(data: bytes) -> int:
     return h ^ h >> 16
 
 
-def _literal(entries: dict[str, int]) -> Column:
+def _literal(entries: dict[str, int], kind: str = "int") -> Column:
     """``entries`` as one literal: an array of BUCKETS small maps, folded from JSON once."""
     table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for key, value in entries.items():
         table[_spark_hash(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(table)), f"array<map<string,{kind}>>")
 
 
 def _lookup(table: Column, key: Column) -> Column:
@@ -145,7 +145,9 @@ def coded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str) -> DataFr
             whole[piece.decode()] = rank
         except UnicodeDecodeError:
             pass
-    table = _literal(whole)
+    # vocabularies of up to 65,536 ids are held as 16-bit numbers from the start
+    low = (1 << 15) if top < (1 << 16) else 0
+    table = _literal({piece: rank - low for piece, rank in whole.items()}, "smallint" if low else "int")
     words = df.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), 0).alias("w"))
     found = words.select(key, "w", F.transform("w", lambda w: _lookup(table, w)).alias("c"))
     missing = found.select(
@@ -153,8 +155,10 @@ def coded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str) -> DataFr
     )
     place = lambda i: F.array_position(F.col("missing"), F.get(F.col("w"), i)).cast("int")
     fits = F.size("missing") < max(0, (1 << 16) - 1 - top)
-    small = F.transform("c", lambda c, i: F.coalesce(c - (1 << 15), (1 << 15) - place(i)).cast("smallint"))
-    large = F.transform("c", lambda c, i: F.coalesce(c, -place(i)))
+    small = F.transform("c", lambda c, i: F.coalesce(c, ((1 << 15) - place(i)).cast("smallint")))
+    if not low:  # nothing fits then
+        small = F.lit(None).cast("array<smallint>")
+    large = F.transform("c", lambda c, i: F.coalesce(c.cast("int") + low, -place(i)))
     return missing.select(key, F.when(fits, small).alias("small"), F.when(~fits, large).alias("large"), "missing")
 
 
