@@ -27,11 +27,12 @@ from siltstone.plans import materialize, scan, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: The word pattern of the vocabulary (white space as Unicode defines it).
+#: The word pattern of the vocabulary (white space as Unicode defines it), with its
+#: alternatives factored and its runs possessive, which matches the same words faster.
 WORDS = (
-    r"'s|'t|'re|'ve|'m|'ll|'d"
-    r"| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
-    r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+    r"'(?:[stmd]|re|ve|ll)"
+    r"| ?(?:\p{L}++|\p{N}++|[^\p{IsWhite_Space}\p{L}\p{N}]++)"
+    r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}++"
 )
 
 BUCKETS = 1 << 14
