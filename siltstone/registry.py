@@ -8,6 +8,7 @@ MODULES: tuple[str, ...] = (
     "operators.hygiene",
     "operators.structure",
     "operators.repomap",
+    "operators.clones",
     "operators.history",
     "operators.metrics",
     "operators.markdown",
