@@ -15,7 +15,7 @@ def documented(spark, folder, extensions):
     return sorted(map(tuple, found.select("file_id", "line", "value").collect())), sorted(map(tuple, wanted.collect()))
 
 
-@pytest.mark.parametrize("extensions", [("go",), ("rs",), ("py",)])
+@pytest.mark.parametrize("extensions", [("go",), ("rs",), ("py",), ("java",), ("js", "mjs", "jsx"), ("ts",)])
 def test_documentation_equals_violations(spark, small, extensions):
     found, wanted = documented(spark, small.replace("sf0.001", "sf0.01"), extensions)
     assert wanted and found == wanted
@@ -29,3 +29,27 @@ def test_documentation_of_go_and_rust():
     assert structure.documentation_ratio(rust, "rust") == [(1, "get", 10, 3)]
     assert structure.documentation_ratio(doc("///", 9) + "fn get() {\n    a();\n    b();\n    c()\n}\n", "rust") == []
     assert structure.documentation_ratio(doc("///") + "fn get();\nfn other() {\n    a();\n    b();\n    c()\n}\n", "rust") == []
+
+
+@pytest.mark.parametrize(
+    "language, head, name",
+    [
+        ("java", "@Override\n    @SuppressWarnings({\"a)\", \"b\"})\n    int get(int a) {", "get"),
+        ("java", "static <T extends Comparable<T>> java.util.List<T[]> get(T a) throws java.io.IOException {", "get"),
+        ("java", "public Thing(int a) {", "Thing"),
+        ("java", "protected int get(" + ", ".join(f"@Named(\"n{i}\") int a{i}" for i in range(60)) + ") {", "get"),
+        ("java", "int get(int a);\n    int other(int a) {", None),
+        ("java", "int first = 1;\n    public int other(int a) {", None),
+        ("java", "if (a > 1) {", None),
+        ("js", "export async function get(" + ", ".join(f"argument{i} = f({i})" for i in range(60)) + ") {", "get"),
+        ("js", "export const get = async (a: { b: string }): Promise<{ c: string }> => {", "get"),
+        ("js", "function get<T extends { a: 1 }>(a: T): { b: string } | null {", "get"),
+        ("js", "static get(a) {", "get"),
+        ("js", "async(a) {", "async"),
+        ("js", "get(a);\nfunction other() {", None),
+        ("js", "const first = 1;\nfunction other() {", None),
+    ],
+)
+def test_documentation_heads(language, head, name):
+    text = "/**\n" + " * word\n" * 16 + " */\n" + head + "\n  a();\n  b();\n  return c;\n}\n"
+    assert [x[1] for x in structure.documentation_ratio(text, language)] == [name] * (name is not None)
