@@ -7,6 +7,7 @@ files have neither symbols nor imports.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +140,85 @@ def cycles(edges: DataFrame, bound: int = 6) -> DataFrame:
     return found.select("repo", F.array_join("nodes", " -> ").alias("cycle"), F.size("nodes").alias("length"))
 
 
+def strong(links: list[tuple[str, str]]) -> list[list[str]]:
+    """Strongly connected components of at least two nodes, by Tarjan's search on a stack of its own."""
+    after: dict[str, list[str]] = {}
+    for a, b in links:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    on: set[str] = set()
+    out = []
+    for root in after:
+        if root in seen:
+            continue
+        work = [(root, iter(after[root]))]
+        seen[root] = low[root] = len(seen)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for x in rest:
+                if x not in seen:
+                    seen[x] = low[x] = len(seen)
+                    stack.append(x)
+                    on.add(x)
+                    work.append((x, iter(after[x])))
+                    break
+                if x in on:
+                    low[node] = min(low[node], seen[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    part = [stack.pop()]
+                    while part[-1] != node:
+                        part.append(stack.pop())
+                    on.difference_update(part)
+                    if len(part) > 1:
+                        out.append(part)
+    return out
+
+
+def rings(edges: DataFrame, trims: int = 10) -> DataFrame:
+    """(repo, cycle, length): every strongly connected component of at least two files, whatever its size, once.
+
+    A file is on some cycle if and only if it is in one.  Edges that begin or end where no cycle can
+    pass are trimmed first (for speed only: ``trims`` rounds or fewer), then each weakly connected
+    part that is left is searched by one task, in time and memory linear in its edges.
+    """
+    shape = "repo string, cycle string, length int"
+    left, before = edges.select("repo", "importer", "target"), None
+    for _ in range(trims):
+        entered = left.select("repo", F.col("target").alias("importer")).distinct()
+        leaving = left.select("repo", F.col("importer").alias("target")).distinct()
+        left = materialize(left.join(entered, ["repo", "importer"], "left_semi").join(leaving, ["repo", "target"], "left_semi"), "edges")
+        size = left.count()
+        if size in (0, before):
+            break
+        before = size
+    if not size:
+        return left.sparkSession.createDataFrame([], shape)
+    name = lambda c: F.concat_ws("\n", "repo", c)
+    part = components(left.select(name("importer").alias("a"), name("target").alias("b"))).withColumnRenamed("id", "a")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [sorted(x) for x in strong(list(zip(table["importer"].to_pylist(), table["target"].to_pylist())))]
+        repo = table["repo"][0].as_py()
+        return pa.table(
+            {
+                "repo": pa.array([repo] * len(found), pa.string()),
+                "cycle": pa.array([", ".join(x) for x in found], pa.string()),
+                "length": pa.array(map(len, found), pa.int32()),
+            }
+        )
+
+    return left.withColumn("a", name("importer")).join(part, "a").drop("a").groupBy("component").applyInArrow(run, shape)
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbol_table(_source(spark, sf_dir))
 
@@ -169,7 +249,13 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles(usage_edges(_source(spark, sf_dir)))
+    """All groups of files that import each other in a ring, and the short rings within them.
+
+    ``kind`` is ``component`` for a strongly connected component of any size (``cycle`` lists its
+    files in order of path), ``cycle`` for an elementary cycle of up to six files.
+    """
+    edges = materialize(usage_edges(_source(spark, sf_dir)), "edges")
+    return rings(edges).withColumn("kind", F.lit("component")).unionByName(cycles(edges).withColumn("kind", F.lit("cycle")))
 
 
 _SYMBOL_SQL = " union all ".join(

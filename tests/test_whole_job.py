@@ -1,9 +1,13 @@
 """Cases that a shortened operator would lose."""
 
+import datetime as dt
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import structure
+from siltstone.operators import repomap, structure
 
 
 def documented(spark, folder, extensions):
@@ -53,3 +57,28 @@ def test_documentation_of_go_and_rust():
 def test_documentation_heads(language, head, name):
     text = "/**\n" + " * word\n" * 16 + " */\n" + head + "\n  a();\n  b();\n  return c;\n}\n"
     assert [x[1] for x in structure.documentation_ratio(text, language)] == [name] * (name is not None)
+
+
+def test_strong_components_by_reachability():
+    r = random.Random(7)
+    for _ in range(200):
+        n = r.randint(2, 12)
+        links = [(str(r.randrange(n)), str(r.randrange(n))) for _ in range(r.randint(1, 2 * n))]
+        reach = set(links)
+        for k, i, j in itertools.product(map(str, range(n)), repeat=3):
+            if (i, k) in reach and (k, j) in reach:
+                reach.add((i, j))
+        wanted = {frozenset([a] + [b for b in map(str, range(n)) if (a, b) in reach and (b, a) in reach]) for a in map(str, range(n))}
+        assert sorted(map(sorted, repomap.strong(links))) == sorted(sorted(x) for x in wanted if len(x) > 1)
+    assert [len(x) for x in repomap.strong([(str(i), str((i + 1) % 50_000)) for i in range(50_000)])] == [50_000]
+
+
+def test_import_rings_of_any_length(spark, tmp_path):
+    """A ring of nine files, one of two that it leads to, and a chain: each ring comes out, the chain does not."""
+    links = [(f"a{i}", f"a{(i + 1) % 9}") for i in range(9)] + [("a3", "b0"), ("b0", "b1"), ("b1", "b0"), ("b1", "c0"), ("c0", "c1"), ("d0", "a0")]
+    names = sorted({x for link in links for x in link})
+    rows = [(i, "r", f"{x}.py", "\n".join(f"import {b}" for a, b in links if a == x) + "\nx = 1\n", dt.datetime(2026, 1, 1)) for i, x in enumerate(names)]
+    spark.createDataFrame(rows, "file_id bigint, repo string, path string, content string, ingested_at timestamp").write.parquet(str(tmp_path / "files.parquet"))
+    got = sorted((r.kind, r.repo, r.cycle, r.length) for r in repomap.import_cycles(spark, str(tmp_path)).collect())
+    ring = ", ".join(f"a{i}.py" for i in range(9))
+    assert got == [("component", "r", ring, 9), ("component", "r", "b0.py, b1.py", 2), ("cycle", "r", "b0.py -> b1.py", 2)]
