@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 
 import pyarrow as pa
@@ -64,7 +65,7 @@ _BEARER = re.compile(r"\b(?:[Bb]earer|[Tt]oken)[ =](?:token )?([A-Za-z0-9._~+/-]
 _PAIR = re.compile(
     r"([A-Za-z][\w.-]*)[\"'`*]*(?:[ \t]*(?::=|=>|->|:|=)[ \t]*|[ \t]+(?:is|was)[ \t]+|[ \t]+)(?:(?:Bearer|Basic|token)[ \t]+)?[\"'`]?([^\s\"'`,;<>(){}]{8,})"
 )
-_HINT = re.compile(r"(?i)pass|pwd|pw|secret|token|key|cred|auth|bearer|jwt|://|-----BEGIN|AKIA|ASIA|eyJ|basic |[a-z]{2,5}[_.-][A-Za-z0-9]{16}")
+_HINT = re.compile(r"(?i)pass|pwd|pw|secret|token|key|cred|auth|bearer|jwt|connect|log_?in|sign_?in|open_?session|://|-----BEGIN|AKIA|ASIA|eyJ|basic |[a-z]{2,5}[_.-][A-Za-z0-9]{16}")
 
 
 def names_credential(name: str) -> bool:
@@ -145,6 +146,7 @@ _NAME = re.compile(
     r"([A-Za-z_$][\w$.-]*)[\"'`\])?!]*\s*(?::\s*(?:&\s*)?(?:'\w+\s+)?[\w<>\[\]., |*]+?\s*=|:=|=>|->|==|!=|=|:|\()\s*(?:[&(\[]\s*|new\s+|String\s*\(|\w+!\(|(?:[A-Za-z_]\w*\.)*(?:from|of|b64decode|encode)\()*$"
 )
 _CALL = re.compile(r"\b(?:connect|login|log_?in|sign_?in|auth|authenticate|authorize|set_?auth|basic_?auth|open_?session)\w*\s*\([^()]*,\s*$", re.I)
+_CALLED = re.compile(r"(?:connect|login|log_?in|sign_?in|auth|authenticate|authorize|set_?auth|basic_?auth|open_?session)\w*$", re.I)
 _PREFIX = re.compile(r"^[A-Za-z]{0,2}")
 
 
@@ -157,12 +159,68 @@ def _body(text: str, start: int, end: int) -> tuple[int, int]:
     return start + head.end(), max(start + head.end(), end - len(head[2]) - len(head[1]))
 
 
+class _Statements:
+    """What stands before a literal in its statement, whatever line it is on; the text is lexed once, when first asked."""
+
+    def __init__(self, text: str, family: str):
+        self.text, self.family = text, family
+        self.tokens: list[tuple[int, int, str]] | None = None
+
+    def _lex(self) -> None:
+        self.tokens, self.begins, self.last = [], [], []
+        depth, end, mark = 0, 0, -1
+        for m in MASTER[self.family].finditer(self.text):
+            if m.lastgroup == "c" or (self.family == "py" and m.group()[0] == "\\"):
+                end = m.end() if m.lastgroup != "c" else end
+                continue
+            c = m.group() if m.lastgroup == "o" else ""
+            depth = max(0, depth - 1) if c and c in ")]}" else depth
+            self.begins.append(self.family == "py" and depth == 0 and "\n" in self.text[end : m.start()] and not (c and c in ")]}"))
+            self.last.append(mark)
+            if c and c in "()[]{};":
+                mark = len(self.tokens)
+            depth += 1 if c and c in "([{" else 0
+            self.tokens.append((m.start(), m.end(), m.lastgroup))
+            end = m.end()
+
+    def names(self, first: int) -> bool:
+        """Is the literal at ``first`` assigned or passed to a credential's name that stands on an earlier line?"""
+        if self.tokens is None:
+            self._lex()
+        at = bisect.bisect_left(self.tokens, (first,))
+        if not at or at >= len(self.begins) or self.begins[at]:
+            return False
+        part, i, to = [], at, first
+        while i and not self.begins[i]:
+            i -= 1
+            a, b, kind = self.tokens[i]
+            word = self.text[a:b]
+            if kind == "o" and word in (";", "{", "}"):
+                break
+            gap = self.text[b:to]
+            part += ["\n" if "\n" in gap else " " if gap else "", word]
+            to = a
+            if kind == "s":
+                break  # a quoted name at most
+        before = "".join(reversed(part))
+        m = _NAME.search(before)
+        if m and names_credential(m[1]) and not re.search(r"\bcase\b", before):
+            return True
+        a, b, _ = self.tokens[at - 1]
+        opening = self.last[at]
+        if self.text[a:b] != "," or opening < 1 or self.text[self.tokens[opening][0]] != "(":
+            return False
+        a, b, kind = self.tokens[opening - 1]
+        return kind == "w" and _CALLED.match(self.text[a:b]) is not None
+
+
 def _code(text: str, family: str) -> list[list[tuple[int, int]]]:
     """Credentials in code; each is a list of spans, one for each of the literals that hold it."""
     found: list[list[tuple[int, int]]] = []
     group: list[tuple[int, int]] = []
     first = -1
     plus = False
+    statements = _Statements(text, family)
 
     def close() -> None:
         if not group:
@@ -173,7 +231,7 @@ def _code(text: str, family: str) -> list[list[tuple[int, int]]]:
             if not spans and " " not in joined and live(joined):
                 line = text[text.rfind("\n", 0, first) + 1 : first]
                 m = _NAME.search(line)
-                if (m and names_credential(m[1])) or _CALL.search(line):
+                if (m and names_credential(m[1])) or _CALL.search(line) or statements.names(first):
                     spans = [(0, len(joined))]
             if not spans and family == "py" and " " in joined or "\n" in joined:
                 spans = spans or by_name(joined) if _HINT.search(joined) and len(joined) > 40 else spans

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.llm.credentials import credentials
 from siltstone.operators import repomap, structure
 
 
@@ -82,3 +83,29 @@ def test_import_rings_of_any_length(spark, tmp_path):
     got = sorted((r.kind, r.repo, r.cycle, r.length) for r in repomap.import_cycles(spark, str(tmp_path)).collect())
     ring = ", ".join(f"a{i}.py" for i in range(9))
     assert got == [("component", "r", ring, 9), ("component", "r", "b0.py, b1.py", 2), ("cycle", "r", "b0.py -> b1.py", 2)]
+
+
+VALUE = "hT7kQ92mLx0PzR4v"
+
+
+@pytest.mark.parametrize(
+    "family, text, cases",
+    [
+        ("js", 'const apiSecret =\n  "%s";', 1),
+        ("js", 'const apiSecret: string = // note\n  Buffer.from("%s");', 1),
+        ("js", 'login(\n  user,\n  "%s");', 1),
+        ("js", 'login(\n  "bob",\n  "%s");', 1),
+        ("py", 'PASSWORD = (\n    "%s"\n)', 1),
+        ("py", 'PASSWORD = \\\n    "%s"\n', 1),
+        ("json", '{"password":\n  "%s"}', 1),
+        ("py", 'def f(password):\n    "%s"\n', 0),
+        ("py", 'def f(password: str,\n      salt="%s"):\n    pass\n', 0),
+        ("py", 'if password:\n    salt = "%s"\n', 0),
+        ("js", 'password = a;\nname =\n  "%s";', 0),
+        ("js", 'f(password,\n  "%s");', 0),
+        ("js", '// password =\nname =\n  "%s";', 0),
+    ],
+)
+def test_credentials_of_wrapped_statements(family, text, cases):
+    found = credentials(text % VALUE, family)
+    assert [(text % VALUE)[a:b] for spans in found for a, b in spans] == [VALUE] * cases
