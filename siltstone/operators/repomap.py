@@ -44,6 +44,15 @@ IMPORTS = (
     ("rust", r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([\w:]+)"),
     ("java", r"(?m)^import[ \t]+(?:static[ \t]+)?([\w.]+)"),
 )
+#: Fixed values: (language, expression whose first group is the source of an import that may span lines).
+WRAPPED_IMPORTS = (("js", r"""(?m)^[ \t]*import\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?(?:\{[^{}]*\}|\*\s*as\s+[\w$]+|[\w$]+)\s*from\s*['"]([^'"\n]+)['"]"""),)
+#: Fixed values: (language, expression whose first group has the names of an import that may span lines).
+WRAPPED_NAMES = (
+    ("js", r"""(?m)^[ \t]*import\s+(?:type\s+)?((?:[\w$]+\s*,\s*)?\{[^{}]*\})\s*from\s*['"]"""),
+    ("python", r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\(([^()#]*(?:#[^\n]*[^()#]*)*)\)"),
+    ("python", r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import\b((?:[^\\\n]*\\\r?\n)+[^\n]*)"),
+    ("rust", r"(?m)^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?use[ \t]+([\w:]*\{[^;]*);"),
+)
 ENTRIES = ("index", "main", "app", "server", "cli", "bin")
 
 
@@ -75,7 +84,7 @@ def symbol_table(source: DataFrame) -> DataFrame:
 
 def import_table(source: DataFrame) -> DataFrame:
     """(file_id, repo, path, lang, source), each source once."""
-    each = source.select("file_id", "repo", "path", "lang", F.explode(F.array_distinct(_collect(source, IMPORTS, "array<struct<source:string>>"))).alias("s"))
+    each = source.select("file_id", "repo", "path", "lang", F.explode(F.array_distinct(_collect(source, IMPORTS + WRAPPED_IMPORTS, "array<struct<source:string>>"))).alias("s"))
     return each.select("file_id", "repo", "path", "lang", "s.source")
 
 
@@ -89,7 +98,7 @@ def candidates(path: Column, source: Column, lang: Column) -> Column:
         lambda acc, x: F.when((x == ".") | (x == ""), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x))),
     )
     base = F.array_join(parts, "/")
-    endings = ("", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts")
+    endings = ("", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs", "/index.cjs")
     script = F.when(source.startswith("."), F.array(*(F.concat(base, F.lit(e)) for e in endings)))
     dotted = F.translate(source, ".", "/")
     python = F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py")))
@@ -112,7 +121,8 @@ def unused(source: DataFrame, edges: DataFrame) -> DataFrame:
     stem = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", ""))
     exports = symbol_table(source).where(F.col("exported") & ~stem.isin(*ENTRIES))
     clause = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(?:import|from|use)\b([^\n]*)"), 1)
-    named = source.select("repo", F.explode(clause).alias("c")).select("repo", F.explode(F.regexp_extract_all("c", F.lit(r"([A-Za-z_$][\w$]*)"), 1)).alias("name")).distinct()
+    wrapped = F.transform(_collect(source, WRAPPED_NAMES, "array<struct<source:string>>"), lambda x: x["source"])
+    named = source.select("repo", F.explode(F.concat(clause, wrapped)).alias("c")).select("repo", F.explode(F.regexp_extract_all("c", F.lit(r"([A-Za-z_$][\w$]*)"), 1)).alias("name")).distinct()
     targets = edges.select("repo", F.col("target").alias("path")).distinct().withColumn("imported", F.lit(True))
     return (
         exports.join(named, ["repo", "name"], "left_anti")

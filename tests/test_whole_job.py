@@ -109,3 +109,24 @@ VALUE = "hT7kQ92mLx0PzR4v"
 def test_credentials_of_wrapped_statements(family, text, cases):
     found = credentials(text % VALUE, family)
     assert [(text % VALUE)[a:b] for spans in found for a, b in spans] == [VALUE] * cases
+
+
+def test_wrapped_imports(spark, tmp_path):
+    """Imports over several lines give edges and names; every ending of a folder's index is tried."""
+    content = {
+        "a/use.js": "import {\n  one,\n  two as too,\n} from './lib';\nimport d, {\n  three\n} from './tool';\nimport * as all\n  from './page';\n",
+        "a/lib/index.tsx": "export const one = 1;\nexport const two = 2;\nexport const left = 3;\n",
+        "a/tool.js": "export const three = 3;\n",
+        "a/page/index.cjs": "x = 1;\n",
+        "m.py": "def four():\n    pass\n\ndef five():\n    pass\n\ndef six():\n    pass\n",
+        "n.py": "from m import (\n    four,  # (a note)\n)\nfrom m import \\\n    five\n",
+        "r.rs": "pub fn seven() {}\npub fn eight() {}\n",
+        "s.rs": "use crate::r::{\n    inner::{ten},\n    seven,\n};\n",
+    }
+    rows = [(i, "r", path, text, dt.datetime(2026, 1, 1)) for i, (path, text) in enumerate(content.items())]
+    spark.createDataFrame(rows, "file_id bigint, repo string, path string, content string, ingested_at timestamp").write.parquet(str(tmp_path / "files.parquet"))
+    unused = {r.name for r in repomap.unused_exports(spark, str(tmp_path)).collect()}
+    assert unused == {"six", "eight"}  # left is in an index, which is an entry point
+    got = {(r.target, r.importers) for r in repomap.dependents(spark, str(tmp_path)).collect()}
+    assert got == {("a/lib/index.tsx", 1), ("a/tool.js", 1), ("a/page/index.cjs", 1), ("m.py", 1)}
+    assert {r.source for r in repomap.imports(spark, str(tmp_path)).where("lang = 'js'").collect()} == {"./lib", "./tool", "./page"}
