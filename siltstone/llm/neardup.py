@@ -14,7 +14,8 @@ fixed size.  A child whose group is so frequent that its tree could grow large i
 and each pair of blocks becomes a task of its own.  Records with equal sets are represented by one
 of them and expanded at the end.
 
-Defined results: null texts and texts of fewer than five words are similar to nothing; of the rows
+Defined results: null texts and texts of fewer than five words are similar to nothing; rows without an
+id are no records; of the rows
 of one id the latest counts (see ``operators.versions``), and repeated rows count once; equal sets
 have similarity 1; an empty table gives an empty table; other columns are ignored.
 """
@@ -333,7 +334,7 @@ def _verify(t: float):
 def similar(records: DataFrame, t: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs (a, b, similarity) of representatives, and (id, rep) of every record
     that has sequences."""
-    texts = spread(records.select("id", "text"))
+    texts = spread(records.where("id is not null").select("id", "text"))
     kinds = "kind int, id bigint, n bigint, digest binary, point binary"
     seen = materialize(texts.mapInArrow(_first_pass, kinds), "points")
     # at most RARITY rows, whatever the size of the corpus

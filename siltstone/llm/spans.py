@@ -12,7 +12,8 @@ extended stretch of each occurrence is emitted); larger groups hash every run of
 characters that holds the seed, so their work grows linearly; groups above ``HOT`` occurrences do
 the same in Catalyst, where partial aggregation keeps any number of rows out of a single task.
 
-Defined results: null texts and texts shorter than ``LENGTH`` have no spans; of the rows of one id
+Defined results: null texts and texts shorter than ``LENGTH`` have no spans; rows without an id are
+no records, and share nothing with others; of the rows of one id
 the latest counts (see ``operators.versions``); positions are code points from 0, the end excluded;
 repeats inside one record alone are not shared; an empty table gives an empty table; other columns
 are ignored.
@@ -226,7 +227,7 @@ def merge_stretches(pieces: DataFrame) -> DataFrame:
 
 def shared_spans(records: DataFrame) -> DataFrame:
     """(id, s, e): the stretches of ``records(id, text)`` that occur in other records too."""
-    texts = records.where(F.length("text") >= LENGTH)
+    texts = records.where(F.col("id").isNotNull() & (F.length("text") >= LENGTH))
     found = materialize(spread(texts).mapInArrow(_anchor_batches, "h bigint, id bigint, pos int"), "anchors")
     seeds = (
         found.groupBy("h")

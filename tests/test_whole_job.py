@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.llm import neardup, spans
 from siltstone.llm.credentials import credentials
 from siltstone.operators import repomap, structure
 
@@ -130,3 +131,16 @@ def test_wrapped_imports(spark, tmp_path):
     got = {(r.target, r.importers) for r in repomap.dependents(spark, str(tmp_path)).collect()}
     assert got == {("a/lib/index.tsx", 1), ("a/tool.js", 1), ("a/page/index.cjs", 1), ("m.py", 1)}
     assert {r.source for r in repomap.imports(spark, str(tmp_path)).where("lang = 'js'").collect()} == {"./lib", "./tool", "./page"}
+
+
+def test_records_without_an_id(spark):
+    """Rows with a null id neither fail spans and similarity nor count as another record."""
+    text = " ".join(f"word{i}" for i in range(60))
+    alone = spark.createDataFrame([(None, text), (None, text), (1, text)], "id bigint, text string")
+    assert spans.shared_spans(alone).count() == 0
+    links, members = neardup.similar(alone)
+    assert links.count() == 0 and [(r.id, r.rep) for r in members.collect()] == [(1, 1)]
+    both = alone.unionByName(spark.createDataFrame([(2, text)], alone.schema))
+    assert sorted(map(tuple, spans.shared_spans(both).collect())) == [(1, 0, len(text)), (2, 0, len(text))]
+    links, members = neardup.similar(both)
+    assert sorted((r.id, r.rep) for r in members.collect()) == [(1, 1), (2, 1)]
