@@ -35,7 +35,14 @@ WORDS = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}++"
 )
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+
+#: Words of more bytes than this are folded in chunks, with equal results.
+LONG = 512
+#: A pair is held as its rank above ``OFFSET`` bits with the offset of its left piece; ``NONE`` and above have no rank.
+OFFSET = 31
+MASK = (1 << OFFSET) - 1
+NONE = 1 << 60
 
 
 def read_ranks(path: str = DEFAULT_VOCABULARY) -> dict[bytes, int]:
@@ -67,10 +74,11 @@ def _spark_hash(data: bytes) -> int:
 
 
 def _literal(entries: dict[str, int], kind: str = "int") -> Column:
-    """``entries`` as one literal: an array of BUCKETS small maps, folded from JSON once."""
-    table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """``entries`` as one literal: an array of BUCKETS small maps (null where empty), folded from JSON once."""
+    table: list[dict[str, int] | None] = [None] * BUCKETS
     for key, value in entries.items():
-        table[_spark_hash(key.encode()) % BUCKETS][key] = value
+        at = _spark_hash(key.encode()) % BUCKETS
+        table[at] = (table[at] or {}) | {key: value}
     return F.from_json(F.lit(json.dumps(table)), f"array<map<string,{kind}>>")
 
 
@@ -83,30 +91,33 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _merged(state: Column, rank) -> Column:
-    """One ranked merge: join the leftmost pair of the lowest rank; no pair, no change."""
+def _start(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit(MASK).cast("bigint"))
 
-    def at(j: Column) -> Column:
-        p, r = state["p"], state["r"]
-        n = F.size(p)
 
-        def put(new: Column) -> Column:
-            left = F.when(j > 1, rank(F.concat(F.get(p, j - 2), new)))
-            right = F.when(j + 1 < n, rank(F.concat(new, F.get(p, j + 1))))
-            return F.struct(
-                F.concat(F.slice(p, 1, j - 1), F.array(new), F.slice(p, j + 2, n)).alias("p"),
-                F.concat(
-                    F.slice(r, 1, F.greatest(j - 2, F.lit(0))),
-                    F.when(j > 1, F.array(left)).otherwise(F.array().cast("array<int>")),
-                    F.when(j + 1 < n, F.array(right)).otherwise(F.array().cast("array<int>")),
-                    F.slice(r, j + 2, n),
-                ).alias("r"),
-            )
+def _pair(rank: Column, start: Column) -> Column:
+    return F.coalesce(F.shiftleft(rank.cast("bigint"), OFFSET), F.lit(NONE).cast("bigint")) + start
+
 
-        return _let(F.concat(F.get(p, j - 1), F.get(p, j)), put)
+def _place(s: Column, m: Column) -> Column:
+    """Place (from 1) of ``m`` in ``s``, whose offsets rise; ``array_position`` ends by an exception and costs far more."""
+    return F.size(F.filter(s, lambda x: _start(x) < _start(m))) + 1
 
-    j = F.array_position(state["r"], F.array_min(state["r"])).cast("int")
-    return F.when(F.array_min(state["r"]).isNull(), state).otherwise(_let(j, at))
+
+def _merged(s: Column, j: Column, rank, n: Column) -> Column:
+    """The pairs ``s`` after the ``j``-th (from 1) has become one piece; ``rank(a, b)`` is that of bytes a to b."""
+    begin = lambda k: _start(F.get(s, k))
+    end = lambda k: F.coalesce(begin(k), n)
+    own = _pair(F.when(begin(j + 1).isNotNull(), rank(begin(j - 1), end(j + 2))), begin(j - 1))
+    left = _pair(rank(begin(j - 2), end(j + 1)), begin(j - 2))
+    # flattening a list of three is cheaper than F.concat, which goes through a lazy list
+    return F.flatten(
+        F.array(
+            F.slice(s, 1, F.greatest(j - 2, F.lit(0))),
+            F.when(j > 1, F.array(left, own)).otherwise(F.array(own)),
+            F.slice(s, j + 2, F.size(s)),
+        )
+    )
 
 
 def encode_word(word: Column, table: Column) -> Column:
@@ -114,22 +125,74 @@ def encode_word(word: Column, table: Column) -> Column:
 
     The table is bound once: each place that named it would ship a copy of it with every task.
     """
-    return _let(table, lambda ranks: _fold(word, ranks))
+    latin = F.decode(word.cast("binary"), "ISO-8859-1")
+    return _let(
+        table, lambda ranks: _let(latin, lambda text: _let(F.octet_length(word).cast("bigint"), lambda n: _fold(text, n, ranks)))
+    )
 
 
-def _fold(word: Column, ranks: Column) -> Column:
-    rank = lambda piece: _lookup(ranks, piece)
-    latin = F.decode(word.cast("binary"), "ISO-8859-1")
-    start = _let(
-        F.split(latin, ""),
-        lambda p: F.struct(
-            p.alias("p"),
-            F.transform(F.slice(p, 2, F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x))).alias("r"),
-        ),
+def _fold(text: Column, n: Column, ranks: Column) -> Column:
+    """Ids of ``text``, in which every character stands for one byte.
+
+    The state is one array of numbers, a piece each: the rank of the pair that the piece makes
+    with the next one, and the offset of the piece.  The least number is therefore the leftmost
+    pair of the lowest rank.  A word that has no such pair left is marked by -1 in front, and all
+    further steps pass it on.
+    """
+    rank = lambda a, b: _lookup(ranks, F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))),
+        lambda i: _pair(F.when(i + 1 < n, rank(i, i + 2)), i),
     )
-    steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    folded = F.aggregate(steps, start, lambda s, _: _merged(s, rank))
-    return F.transform(folded["p"], rank)
+    steps = F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1)))
+
+    def step(s: Column, _) -> Column:
+        def least(m: Column) -> Column:
+            return F.when(m >= NONE, F.concat(F.array(F.lit(-1).cast("bigint")), s)).otherwise(
+                _let(_place(s, m), lambda j: _merged(s, j, rank, n))
+            )
+
+        return F.when(F.get(s, F.lit(0)) < 0, s).otherwise(_let(F.array_min(s), least))
+
+    short = F.filter(F.aggregate(steps, pairs, step), lambda x: x >= 0)
+    folded = F.when(n > LONG, _long_fold(pairs, steps, rank, n)).otherwise(short)
+    return _let(folded, lambda s: F.transform(s, lambda x, i: rank(_start(x), F.coalesce(_start(F.get(s, i + 1)), n))))
+
+
+def _long_fold(pairs: Column, steps: Column, rank, n: Column) -> Column:
+    """The same fold for a long word: the pairs are held in chunks with the least of each, so that a
+    merge looks at the least ones and touches a few neighbouring chunks instead of the whole word."""
+    size = F.greatest(F.sqrt(n / 4).cast("int"), F.lit(4))
+    return _let(size, lambda size: _chunk_fold(pairs, steps, size, rank, n))
+
+
+def _chunk_fold(pairs: Column, steps: Column, size: Column, rank, n: Column) -> Column:
+    def chunked(s: Column, size: Column) -> Column:
+        cut = F.sequence(F.lit(0), F.ceil(F.size(s) / size).cast("int") - 1)
+        return F.transform(
+            F.transform(cut, lambda k: F.slice(s, k * size + 1, size)),
+            lambda part: F.struct(F.array_min(part).alias("m"), part.alias("s")),
+        )
+
+    def step(chunks: Column, _) -> Column:
+        def at(least: Column) -> Column:
+            m, k = least["m"], least["k"]
+            # one chunk before and three after hold every piece that the merge can touch
+            lo = F.greatest(k - 1, F.lit(1))
+            window = F.flatten(F.transform(F.slice(chunks, lo, k - lo + 4), lambda c: c["s"]))
+
+            def merged(w: Column) -> Column:
+                joined = _let(_place(w, m), lambda j: _merged(w, j, rank, n))
+                parts = _let(joined, lambda s: chunked(s, size))
+                return F.flatten(F.array(F.slice(chunks, 1, lo - 1), parts, F.slice(chunks, k + 4, F.size(chunks))))
+
+            done = F.array(F.struct(F.lit(-1).cast("bigint").alias("m"), F.array().cast("array<bigint>").alias("s")))
+            return F.when(m >= NONE, F.concat(done, chunks)).otherwise(_let(window, merged))
+
+        least = F.array_min(F.transform(chunks, lambda c, i: F.struct(c["m"].alias("m"), (i + 1).alias("k"))))
+        return F.when(F.get(chunks, F.lit(0))["m"] < 0, chunks).otherwise(_let(least, at))
+
+    return F.flatten(F.transform(F.aggregate(steps, chunked(pairs, size), step), lambda c: c["s"]))
 
 
 def coded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str) -> DataFrame:
@@ -149,18 +212,38 @@ def coded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str) -> DataFr
     # vocabularies of up to 65,536 ids are held as 16-bit numbers from the start
     low = (1 << 15) if top < (1 << 16) else 0
     table = _literal({piece: rank - low for piece, rank in whole.items()}, "smallint" if low else "int")
-    words = df.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), 0).alias("w"))
-    found = words.select(key, "w", F.transform("w", lambda w: _lookup(table, w)).alias("c"))
-    missing = found.select(
-        key, "w", "c", F.array_distinct(F.filter("w", lambda w, i: F.get(F.col("c"), i).isNull())).alias("missing")
-    )
-    place = lambda i: F.array_position(F.col("missing"), F.get(F.col("w"), i)).cast("int")
-    fits = F.size("missing") < max(0, (1 << 16) - 1 - top)
-    small = F.transform("c", lambda c, i: F.coalesce(c, ((1 << 15) - place(i)).cast("smallint")))
-    if not low:  # nothing fits then
-        small = F.lit(None).cast("array<smallint>")
-    large = F.transform("c", lambda c, i: F.coalesce(c.cast("int") + low, -place(i)))
-    return missing.select(key, F.when(fits, small).alias("small"), F.when(~fits, large).alias("large"), "missing")
+    # bound values stay objects of the JVM; columns of their own would be copied and read back element by element
+    fits = lambda missing: F.size(missing) < max(0, (1 << 16) - 1 - top)
+    smalls, larges = F.lit(None).cast("array<smallint>"), F.lit(None).cast("array<int>")
+
+    def code(w: Column, c: Column, missing: Column) -> Column:
+        def numbered(places: Column) -> Column:
+            def place(i: Column) -> Column:
+                word = F.get(w, i)
+                return F.coalesce(places[F.xxhash64(word)], F.array_position(missing, word).cast("int"))
+
+            small = F.transform(c, lambda x, i: F.coalesce(x, ((1 << 15) - place(i)).cast("smallint"))) if low else smalls
+            large = F.transform(c, lambda x, i: F.coalesce(x.cast("int") + low, -place(i)))
+            ok = fits(missing)
+            return F.struct(
+                F.when(ok, small).otherwise(smalls).alias("small"), F.when(ok, larges).otherwise(large).alias("large"), missing.alias("missing")
+            )
+
+        # found by hash in a map of numbers; where two words of a document have one hash, words are compared
+        hashes = F.transform(missing, lambda x: F.xxhash64(x))
+        apart = F.size(F.array_distinct(hashes)) == F.size(missing)
+        none = F.create_map().cast("map<bigint,int>")
+        return _let(F.when(apart, F.map_from_arrays(hashes, F.transform(missing, lambda _, i: i + 1))).otherwise(none), numbered)
+
+    def split(w: Column) -> Column:
+        def known(c: Column) -> Column:
+            missing = F.array_distinct(F.filter(w, lambda _, i: F.get(c, i).isNull()))
+            return _let(missing, lambda missing: code(w, c, missing))
+
+        return _let(F.transform(w, lambda x: _lookup(table, x)), known)
+
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), 0)
+    return df.select(key, _let(words, split).alias("x")).select(key, "x.small", "x.large", "x.missing")
 
 
 def encode(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,9 +262,11 @@ def encode(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_
         .agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("spelled"))
     )
     word = lambda k: F.get(F.col("spelled"), k)["ids"]
-    small = F.transform(
-        "small",
-        lambda c: F.when(c <= top - (1 << 15), F.array(c.cast("int") + (1 << 15))).otherwise(word((1 << 15) - 1 - c)),
+    # every id as a list of its own, from a literal: made anew for each word they would cost more
+    lists = F.from_json(F.lit(json.dumps([[i] for i in range(min(top + 1, 1 << 16))])), "array<array<int>>")
+    small = _let(
+        lists,
+        lambda own: F.transform("small", lambda c: F.coalesce(F.get(own, c + F.lit(1 << 15)), word((1 << 15) - 1 - c))),
     )
     large = F.transform("large", lambda c: F.when(c >= 0, F.array(c)).otherwise(word(-c - 1)))
     return (
@@ -201,10 +286,11 @@ def count_tokens(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str =
         except UnicodeDecodeError:
             pass
     table = _literal(whole)
-    words = spread(df.select(key, text)).select(
-        key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), 0).alias("w")
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), 0)
+    counted = _let(
+        words, lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: _lookup(table, x).isNull()).alias("missing"))
     )
-    split = words.select(key, F.size("w").alias("n"), F.filter("w", lambda w: _lookup(table, w).isNull()).alias("missing"))
+    split = spread(df.select(key, text)).select(key, counted.alias("x")).select(key, "x.n", "x.missing")
     rows = materialize(split.withColumn("row", F.monotonically_increasing_id()), "missing")
     merges = _literal({piece.decode("latin-1"): rank for piece, rank in ranks.items()})
     used = rows.select("row", F.explode("missing").alias("word"))

@@ -270,6 +270,24 @@ def test_many_missing_words(spark):
     assert first.small is None and len(first.large) == len(set(first.missing)) + sum(c >= 0 for c in first.large) or first.large
 
 
+def test_long_words(spark, monkeypatch):
+    """Words folded in chunks have the ids of words folded whole; one word of 3,000 letters agrees."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers
+
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenize.read_ranks(), special_tokens={})
+    r = random.Random(4)
+    texts = ["x" * 700, "ab" * 300] + ["".join(r.choice("etaoinshrdluéß的一是") for _ in range(r.randint(1, 60))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: coder.encode_ordinary(t) for i, t in enumerate(texts)}
+    for long in (tokenize.LONG, 8):
+        monkeypatch.setattr(tokenize, "LONG", long)
+        assert {x.doc_id: list(x.ids) for x in tokenize.encode(df).collect()} == want
+    monkeypatch.undo()
+    big = "".join(r.choice("ACGT") for _ in range(3_000))
+    assert list(tokenize.encode(spark.createDataFrame([(1, big)], "doc_id bigint, text string")).first().ids) == coder.encode_ordinary(big)
+
+
 # ---- 8
 def test_packing(spark):
     r = random.Random(2)
