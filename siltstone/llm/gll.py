@@ -282,7 +282,7 @@ class Grammar:
     joins = frozenset(["else", "catch", "finally", "elif", "except"])
 
     def _statements(self, element: str, tokens: tuple) -> bool:
-        """Statements are taken one by one, the shortest that parse; if that fails, all that are left at once."""
+        """Statements are taken one by one, the shortest that parse."""
         n = len(tokens)
         ends = [
             i + 1
@@ -294,7 +294,7 @@ class Grammar:
             ends.append(n)
         at, k = 0, 0
         while k < len(ends):
-            for to in range(k, min(k + 6, len(ends))):
+            for to in range(k, len(ends)):
                 state = self._state(element, tokens[at : ends[to]])
                 if state == 2:
                     at, k = ends[to], to + 1
@@ -302,7 +302,7 @@ class Grammar:
                 if state == 0:
                     return False  # nothing that follows can mend it
             else:
-                return self.derives(element, tokens[at:])
+                return False
         return True
 
     def group(self, bracket: str, tokens: tuple) -> int:

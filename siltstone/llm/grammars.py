@@ -188,6 +188,7 @@ Sub = Named | '*' OrExpr | Test? ':' Test? ( ':' Test? )?
 Params ~, Param
 Param = Id ( ':' Test )? ( '=' Test )? | '*' ( Id ( ':' ( Test | '*' OrExpr ) )? )? | '**' Id ( ':' Test )? | '/'
 Id = ID | 'match' | 'case' | 'type'
+Field = Stars
 """
 
 _JSON = r"""

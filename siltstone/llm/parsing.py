@@ -83,7 +83,7 @@ def parses(text: str, dialect: str) -> bool:
         if dialect == "py":
             return _python(text)
         return _braces(text, dialect)
-    except (_Reject, RecursionError):
+    except _Reject:
         return False
 
 
@@ -95,8 +95,7 @@ class _Reject(Exception):
     pass
 
 
-def _terminals(m: re.Match, dialect: str, words: frozenset) -> tuple[str, ...]:
-    kind, s = m.lastgroup, m.group()
+def _terminals(kind: str, s: str, dialect: str, words: frozenset) -> tuple[str, ...]:
     if kind == "w":
         if dialect in ("js", "ts") and s[0] == "@":
             return ("@", _word(s[1:], dialect, words)) if len(s) > 1 else ("@",)
@@ -135,7 +134,14 @@ def _terminals(m: re.Match, dialect: str, words: frozenset) -> tuple[str, ...]:
     return (s,)
 
 
-def _braces(text: str, dialect: str) -> bool:
+def _known(kind: str, s: str, dialect: str, words: frozenset):
+    """The terminal of a token that needs no further thought, else the terminals as a tuple."""
+    new = _terminals(kind, s, dialect, words)
+    one = len(new) == 1 and new[0] not in _SPECIAL and not (dialect == "rs" and (new[0] in (".", "=") or new[0] in CONTEXTUAL["rs"]))
+    return new[0] if one else new
+
+
+def _braces(text: str, dialect: str, nested: bool = False) -> bool:
     g = grammar(dialect)
     words = KEYWORDS[dialect]
     soft = CONTEXTUAL.get(dialect, frozenset())
@@ -145,42 +151,53 @@ def _braces(text: str, dialect: str) -> bool:
     stack: list[tuple[str, list]] = [("", [])]
     now = stack[0][1]
     at, prior = 0, ""
-    rust = dialect == "rs"
+    rust, script = dialect == "rs", dialect in ("js", "ts")
     known = _TERMINALS.setdefault(dialect, {})
-    for m in MASTER[FAMILY_OF[dialect]].finditer(text):
+    lexer = MASTER[FAMILY_OF[dialect]]
+    matches = lexer.finditer(text)
+    while True:
+        m = next(matches, None)
+        if m is None:
+            break
         kind = m.lastgroup
         if kind == "c":
             continue
-        if kind == "w" or kind == "o":
-            s = m.group()
+        s = m.group()
+        end = -1
+        if script and s[0] == "`":
+            end = _special(text, m.start(), m.end(), dialect, nested)
+            if end != m.end():
+                matches = lexer.finditer(text, end)
+            new = "TPL"
+        elif kind == "s":
+            new = _terminals(kind, s, dialect, words)[0]
+        else:
             new = known.get(s)
             if new is None:
                 if len(known) > 100_000:
                     known.clear()
-                new = known[s] = _terminals(m, dialect, words)
-        else:
-            new = _terminals(m, dialect, words)
-        start = m.start()
+                new = known[s] = _known(kind, s, dialect, words)
+        plain = new.__class__ is str
+        if lines:
+            if prior != "" and (prior in ends or prior.__class__ is int) and text.find("\n", at, m.start()) >= 0:
+                first = new if plain else new[0]
+                if go or (stack[-1][0] not in ("(", "[") and first not in _NO_NL and not (first in ")]}")):
+                    now.append("NL")
+            at = m.end() if end < 0 else end
+        if plain:
+            now.append(new)
+            prior = new
+            continue
         if rust and len(new) == 1:
             t = new[0]
-            if t == "." and now and now[-1] in ("..", ".") and text[start - 1] == ".":
-                now[-1] = ".." if now[-1] == "." else "..."
-                at, prior = m.end(), now[-1]
+            if t == "." and now and now[-1] in ("..", ".") and text[m.start() - 1] == ".":
+                now[-1] = prior = ".." if now[-1] == "." else "..."
                 continue
-            if t == "=" and now and now[-1] == ".." and text[start - 1] == ".":
+            if t == "=" and now and now[-1] == ".." and text[m.start() - 1] == ".":
                 now[-1] = prior = "..="
-                at = m.end()
                 continue
-        if lines and prior != "" and (prior in ends or prior.__class__ is int) and "\n" in text[at:start]:
-            first = new[0]
-            bracket = stack[-1][0]
-            if go or (bracket not in ("(", "[") and first not in _NO_NL and not (first in ")]}")):
-                now.append("NL")
         for t in new:
-            if t not in _SPECIAL and not soft:
-                now.append(t)
-                prior = t
-            elif t in ("(", "[", "{"):
+            if t in ("(", "[", "{"):
                 stack.append((t, []))
                 now = stack[-1][1]
                 prior = ""
@@ -193,10 +210,9 @@ def _braces(text: str, dialect: str) -> bool:
                 now.append(prior)
             else:
                 if t in soft:
-                    t = t if t in ("macro_rules", "union", "raw") and _soft(t, text, m.end()) else "ID"
+                    t = t if t in _MEANT and _soft(t, text, m.end()) else "ID"
                 now.append(t)
                 prior = t
-        at = m.end()
     if len(stack) > 1:
         raise _Reject
     if lines and now and now[-1] not in (";", "NL"):
@@ -206,12 +222,14 @@ def _braces(text: str, dialect: str) -> bool:
 
 def _soft(word: str, text: str, at: int) -> bool:
     """Is a word that is reserved in some places meant as such here?"""
-    rest = text[at : at + 80].lstrip()
-    if word == "macro_rules":
-        return rest.startswith("!")
-    if word == "union":
-        return bool(re.match(r"[A-Za-z_]\w*\s*(?:<[^>]*>\s*)?(?:where\b|\{)", rest))
-    return bool(re.match(r"(?:const|mut)\b", rest))
+    return _MEANT[word].match(text, at) is not None
+
+
+_MEANT = {
+    "macro_rules": re.compile(r"\s*!"),
+    "union": re.compile(r"\s*[A-Za-z_]\w*\s*(?:<[^>]*>\s*)?(?:where\b|\{)"),
+    "raw": re.compile(r"\s*(?:const|mut)\b"),
+}
 
 
 #: Words that are names wherever a name may stand.
@@ -275,38 +293,179 @@ def _both(g: Grammar, bracket: str, inner: list, dialect: str) -> int:
     return found
 
 
-_FSTRING = re.compile(r"(?i)^(?:f|t|rf|fr|tr|rt)(?:\"|')")
+_PREFIX = re.compile(r"[^\W\d]*")
+_PREFIXES = frozenset(["", "r", "b", "u", "f", "br", "rb", "fr", "rf"])
+_TEXT_PART = {"`": re.compile(r"[^\\`$]+")} | {q: re.compile(rf"[^\\{q[0]}{{}}\n]+") for q in ("'", '"')} | {q * 3: re.compile(rf"[^\\{q}{{}}]+") for q in ("'", '"')}
+_CONVERSION = re.compile(r"\s*[rsa]\s*(?=[:}])")
 
 
-def _fields_close(s: str) -> bool:
-    """Are the fields of a formatted string closed?"""
-    depth = 0
-    i, n = 0, len(s)
-    while i < n:
-        c = s[i]
-        if c == "{":
-            if depth == 0 and s[i + 1 : i + 2] == "{":
-                i += 2
-                continue
-            depth += 1
-        elif c == "}":
-            if depth == 0:
-                if s[i + 1 : i + 2] == "}":
+class _Open:
+    """A formatted string or template that is being read: its quotes, and the field it is in."""
+
+    __slots__ = ("quote", "raw", "start", "depth", "spec")
+
+    def __init__(self, quote: str, raw: bool):
+        self.quote, self.raw, self.start, self.depth, self.spec = quote, raw, -1, 0, 0
+
+
+def _open_string(s: str, at: int, text: str) -> tuple[_Open, int]:
+    prefix = _PREFIX.match(text, at).group()
+    q = at + len(prefix)
+    quote = text[q] * 3 if text[q] != "`" and text.startswith(text[q] * 3, q) else text[q]
+    return _Open(quote, "r" in prefix.lower()), q + len(quote)
+
+
+def _is_formatted(text: str, at: int) -> bool:
+    c = text[at]
+    return c == "`" or (c in "fFrR" and "f" in _PREFIX.match(text, at).group().lower())
+
+
+def _fields(text: str, at: int, dialect: str) -> tuple[int, list[str]]:
+    """The end of the formatted string (or template) at ``at`` and the code of its fields, those of
+    strings within fields too.  A stack takes the place of recursion, so depth does not matter."""
+    js = dialect != "py"
+    lexer = MASTER["js" if js else "py"]
+    now, i = _open_string("", at, text)
+    stack = [now]
+    code: list[str] = []
+    n = len(text)
+    while stack:
+        now = stack[-1]
+        if now.start < 0:  # among the text, or in a format
+            if i >= n:
+                raise _Reject
+            m = _TEXT_PART[now.quote].match(text, i)
+            if m:
+                i = m.end()
+                if i >= n:
+                    raise _Reject
+            c = text[i]
+            if c == "\\":
+                if js or text[i + 1 : i + 2] not in ("{", "}"):
+                    if not js and not now.raw and text.startswith("N{", i + 1):
+                        i = text.find("}", i)
+                        if i < 0:
+                            raise _Reject
+                        i += 1
+                    else:
+                        i += 2
+                else:
+                    i += 1
+            elif text.startswith(now.quote, i):
+                if now.spec:
+                    raise _Reject
+                stack.pop()
+                i += len(now.quote)
+            elif js:
+                if c == "$" and text.startswith("{", i + 1):
                     i += 2
-                    continue
-                return False
-            depth -= 1
-        i += 1
-    return depth == 0
+                    now.start, now.depth = i, 0
+                else:
+                    i += 1
+            elif c == "{":
+                if not now.spec and text.startswith("{", i + 1):
+                    i += 2
+                else:
+                    i += 1
+                    now.start, now.depth = i, 0
+            elif c == "}":
+                if now.spec:
+                    now.spec -= 1
+                    i += 1
+                elif text.startswith("}", i + 1):
+                    i += 2
+                else:
+                    raise _Reject
+            elif c == "\n" and len(now.quote) == 1:
+                raise _Reject
+            else:
+                i += 1
+            continue
+        m = lexer.search(text, i)
+        if m is None:
+            raise _Reject
+        kind, s, a = m.lastgroup, m.group(), m.start()
+        i = m.end()
+        if (kind == "s" or s == "`" or kind == "w") and _is_formatted(text, a) and (s[0] == "`" or kind == "s"):
+            inner, i = _open_string(s, a, text)
+            stack.append(inner)
+        elif kind == "o" and s in ("(", "[", "{"):
+            now.depth += 1
+        elif kind == "o" and s in (")", "]", "}") and now.depth:
+            now.depth -= 1
+        elif kind == "o" and now.depth == 0 and s == "}":
+            code.append(text[now.start : a])
+            now.start = -1
+        elif not js and kind == "o" and now.depth == 0 and (s[0] == ":" or s == "!" or (s == "=" and _SHOWN.match(text, i))):
+            code.append(text[now.start : a])
+            i = a + 1
+            if s == "=":
+                i = _SPACE.match(text, i).end()
+                s = text[i]
+                i += 1
+            if s == "!":
+                m = _CONVERSION.match(text, i)
+                if not m:
+                    raise _Reject
+                i = m.end() + 1
+                s = text[m.end()]
+            now.start = -1
+            if s[0] == ":":
+                now.spec += 1
+    return i, code
+
+
+_SHOWN = re.compile(r"\s*[}!:]")
+_SPACE = re.compile(r"\s*")
+
+#: Verdicts on the code of fields seen so far, by dialect and code.
+_CODE: dict[tuple[str, str], bool] = {}
+
+
+def _check_field(x: str, dialect: str) -> None:
+    key = (dialect, x)
+    ok = _CODE.get(key)
+    if ok is None:
+        if len(_CODE) > 100_000:
+            _CODE.clear()
+        try:
+            ok = _python(x, field=True) if dialect == "py" else _braces(f"({x}\n)", dialect, nested=True)
+        except _Reject:
+            ok = False
+        _CODE[key] = ok
+    if not ok:
+        raise _Reject
+
+
+#: Formatted strings and templates that were found right, by dialect.
+_WHOLE: set[tuple[str, str]] = set()
+
 
+def _special(text: str, start: int, end: int, dialect: str, nested: bool) -> int:
+    """The true end of the formatted string or template at ``start``, which the lexer ends at ``end``; the
+    code of its fields is checked unless it is ``nested``, for then the string around has collected it."""
+    key = (dialect, text[start:end])
+    if key in _WHOLE:
+        return end
+    to, code = _fields(text, start, dialect)
+    if not nested:
+        for x in code:
+            _check_field(x, dialect)
+        if to == end:
+            if len(_WHOLE) > 100_000:
+                _WHOLE.clear()
+            _WHOLE.add(key)
+    return to
 
-def _python(text: str) -> bool:
+
+def _python(text: str, field: bool = False) -> bool:
+    """Is the text a file (or the code of a field) of Python?"""
     g = grammar("py")
     words = KEYWORDS["py"]
     stack: list[tuple[str, list]] = [("", [])]
     now = stack[0][1]
     indents = [0]
-    depth = 0  # of brackets
+    depth = base = 1 if field else 0  # of brackets
     fresh = True  # at the start of a logical line
     at = 0
 
@@ -316,17 +475,23 @@ def _python(text: str) -> bool:
             now.append("NL")
             fresh = True
 
-    for m in MASTER["py"].finditer(text):
-        kind, s, start = m.lastgroup, m.group(), m.start()
-        if depth == 0 and "\n" in text[at:start]:
-            end_line()
-        at = m.end()
+    lexer = MASTER["py"]
+    matches = lexer.finditer(text)
+    while True:
+        m = next(matches, None)
+        if m is None:
+            break
+        kind, s = m.lastgroup, m.group()
+        if depth == 0:
+            start = m.start()
+            if not fresh and text.find("\n", at, start) >= 0:
+                end_line()
+            at = m.end()
         if kind == "c":
             continue
         if s[0] == "\\" and len(s) > 1:
-            at = m.end()
             continue
-        if fresh and depth == 0:
+        if depth == 0 and fresh:
             line = text[text.rfind("\n", 0, start) + 1 : start].replace("\x0c", "")
             if not line.strip():
                 width = len(line.expandtabs(8))
@@ -353,8 +518,14 @@ def _python(text: str) -> bool:
                 return False
             now.append("NUM")
         elif kind == "s":
-            if _FSTRING.match(s) and not _fields_close(s[re.match(r"\w+(\"\"\"|'''|\"|')", s).end() :]):
-                return False
+            if s[0] not in "\"'":
+                if _PREFIX.match(s).group().lower() not in _PREFIXES:
+                    return False
+                if _is_formatted(s, 0) and ("{" in s or "}" in s):
+                    end = _special(text, m.start(), m.end(), "py", field)
+                    if end != m.end():
+                        matches = lexer.finditer(text, end)
+                        at = end
             now.append("STR")
         elif s in "([{":
             stack.append((s, []))
@@ -367,12 +538,15 @@ def _python(text: str) -> bool:
             now = stack[-1][1]
             now.append(g.group(bracket, tuple(inner)))
             depth -= 1
+            at = m.end()
         elif s in "\"'`\\$?!#":
             return False
         else:
             now.append(s)
-    if depth:
+    if depth != base:
         return False
+    if field:
+        return len(stack) == 1 and g.derives("Field", tuple(now))
     end_line()
     while len(stack) > 1:
         inner = stack.pop()[1]

@@ -221,6 +221,23 @@ def test_tree_keeps_every_pair():
         ("a.json", '{"a": 1,}', False),
         ("a.json", "{'a': 1}", False),
         ("a.json", "[01]", False),
+        ("a.js", "const a = `${1 +}`;", False),
+        ("a.js", "const a = `${{b: `}${c}`}.b} ${`${d(')')}`} \\${`;", True),
+        ("a.js", "const a = `${`${x y}`}`;", False),
+        ("a.ts", "const a = `${b as string} ${}`;", False),
+        ("a.js", "const a = `${b", False),
+        ("a.py", "x = f'{1 +}'\n", False),
+        ("a.py", "x = f'{a!r:>{w}} {{}} {b[\"c\"]:%Y} {d=} {e = !s:x}' rf'\\d{a}' f'\\N{DASH}'\n", True),
+        ("a.py", "x = f'{a['b']}' f'{f'{c}'}'\n", True),
+        ("a.py", "x = f'{f'{c d}'}'\n", False),
+        ("a.py", "x = f'{}'\n", False),
+        ("a.py", "x = f'{a!q}'\n", False),
+        ("a.py", "x = f'}'\n", False),
+        ("a.py", "x = f'{lambda y: 1}'\n", False),
+        ("a.py", 'x = f"""{\n  a  # b\n}\n"""\n', True),
+        ("a.py", "x = " + "f'{" * 9 + "a" + "}'" * 9 + "\n", True),
+        ("a.js", "x(" + "`${" * 300 + "a" + "}`" * 300 + ");", True),
+        ("a.rs", "pub" + " " * 200 + "union" + " " * 200 + "U { a: u8 }", True),
         ("a.txt", "(((", None),
         ("a.py", "", None),
         ("a.py", None, None),
