@@ -3,8 +3,15 @@
 Vector best-fit decreasing.  A container has three capacities: tokens, documents and attention
 cost (the sum of the squares of its items' tokens, which is what attention over the items costs).
 Items come in order of size; of the open containers that can take an item under every constraint,
-the one is chosen whose weighted dot product of the item with the residual capacities is least, the
-norm of what would remain deciding ties: both measure unused room, so the tightest fit wins.
+the one of the best score is chosen.  ``score="norm"``: the least weighted norm of what would remain
+of the three capacities; ``score="dot"``: the least weighted dot product of the item with what is
+left.  Both measure unused room, so the tightest fit wins.
+
+Only the tokens are a limit of problem 8, so the other two capacities are set from the corpus itself:
+a container may hold ``spread`` times the documents and the attention cost that a container of this
+corpus has on average.  So they bind where documents would gather unevenly (a container of only short
+texts, or only one of long ones) and cost no room on the whole; an item alone in a container is
+always allowed.
 
 Distribution: the (id, tokens) table is cut into blocks by a hash of the id; each block is packed
 by itself for every capacity.  What a block leaves in containers that are not nearly full goes
@@ -32,10 +39,16 @@ SCHEMA = "budget_id int, capacity int, doc_id bigint, piece int, tokens int, blo
 
 #: Weights of the residual capacities (tokens, documents, attention cost) in the score.
 WEIGHTS = (1.0, 0.05, 0.05)
+#: What the capacities for documents and attention cost allow, as a multiple of the average container's.
+SPREAD = 8.0
+
 
+def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float, score: str = "norm", tally: dict | None = None) -> np.ndarray:
+    """Container number of each item; ``sizes`` must fall and be at most ``capacity``.
 
-def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float) -> np.ndarray:
-    """Container number of each item; ``sizes`` must fall.  Every item must fit an empty container."""
+    An item that alone exceeds ``max_cost`` has a container of its own.  ``tally`` counts, for each
+    capacity, the containers that it alone kept an item out of.
+    """
     n = len(sizes)
     where = np.empty(n, np.int64)
     if not n:
@@ -51,17 +64,19 @@ def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float)
         at = -1
         if used:
             r = room[:, :used]
-            fits = np.flatnonzero((r[0] >= need[0] - 1e-12) & (r[1] >= need[1] - 1e-12) & (r[2] >= need[2] - 1e-12))
+            enough = [r[k] >= need[k] - 1e-12 for k in range(3)]
+            fits = np.flatnonzero(enough[0] & enough[1] & enough[2])
+            if tally is not None:
+                for k, what in enumerate(("tokens", "documents", "cost")):
+                    tally[what] = tally.get(what, 0) + int((~enough[k] & enough[k - 1] & enough[k - 2]).sum())
             if len(fits):
                 r = r[:, fits]
-                score = WEIGHTS[0] * r[0] * (need[0] + 1e-9)
-                score += WEIGHTS[1] * r[1] * need[1] + WEIGHTS[2] * r[2] * need[2]
-                best = np.flatnonzero(score == score.min())
-                if len(best) > 1:
-                    norm = ((r[:, best] - np.array(need)[:, None]) ** 2).sum(0)
-                    at = int(fits[best[int(norm.argmin())]])
+                if score == "dot":
+                    cost = WEIGHTS[0] * r[0] * (need[0] + 1e-9) + WEIGHTS[1] * r[1] * need[1] + WEIGHTS[2] * r[2] * need[2]
                 else:
-                    at = int(fits[best[0]])
+                    left = r - np.array(need)[:, None]
+                    cost = WEIGHTS[0] * left[0] ** 2 + WEIGHTS[1] * left[1] ** 2 + WEIGHTS[2] * left[2] ** 2
+                at = int(fits[int(cost.argmin())])
         if at < 0:
             if used == size:
                 size *= 2
@@ -73,6 +88,7 @@ def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float)
             made += 1
         where[i] = name[at]
         room[:, at] -= need
+        np.maximum(room[:, at], 0.0, out=room[:, at])
         if room[0, at] < least - 1e-12 or room[1, at] < 0.5 / max_documents or (least > 0 and room[0, at] < 0.5 / capacity):
             used -= 1  # nothing that comes later fits: the last open container takes its place
             room[:, at] = room[:, used]
@@ -80,11 +96,18 @@ def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float)
     return where
 
 
-def _pack_block(frame: pd.DataFrame, share: float, cost_share: float) -> pd.DataFrame:
+def limits(sizes: np.ndarray, capacity: int, spread: float) -> tuple[int, float]:
+    """Documents and attention cost that a container may hold, from what these items have on average."""
+    containers = max(1.0, float(sizes.sum()) / capacity)
+    documents = max(1, int(np.ceil(spread * len(sizes) / containers)))
+    return documents, max(1.0, spread * float((sizes.astype(float) ** 2).sum()) / containers)
+
+
+def _pack_block(frame: pd.DataFrame, spread: float, score: str) -> pd.DataFrame:
     frame = frame.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
     capacity = int(frame["capacity"].iat[0])
-    documents = max(1, int(capacity * share))
-    where = pack(frame["tokens"].to_numpy(), capacity, documents, cost_share * float(capacity) ** 2)
+    sizes = frame["tokens"].to_numpy()
+    where = pack(sizes, capacity, *limits(sizes, capacity, spread), score)
     sums = np.bincount(where, weights=frame["tokens"].to_numpy(), minlength=int(where.max()) + 1 if len(where) else 0)
     frame = frame.assign(bin=where.astype("int32"), free=(capacity - sums[where]).astype("int32"))
     return frame[[c.split()[0] for c in SCHEMA.split(", ")]]
@@ -120,22 +143,21 @@ def pack_all(
     items: DataFrame,
     budgets: DataFrame,
     block_rows: int = 6000,
-    document_share: float = 0.25,
-    cost_share: float = 1.0,
+    spread: float = SPREAD,
+    score: str = "norm",
     loose: float = 0.02,
 ) -> DataFrame:
     """(budget_id, doc_id, piece, tokens, container) of every item of ``items(doc_id, tokens)``.
 
-    ``document_share``: documents allowed per token of capacity; ``cost_share``: attention cost
-    allowed, as a share of the square of the capacity; ``loose``: containers of the first round
-    with more than this share of free room are packed again.
+    ``spread`` and ``score``: see the module's docstring; ``loose``: containers of the first round
+    with more than this share of free room are packed again, by the limits of their own items.
     """
     each = pieces(items, budgets)
     total = items.count()
     blocks = max(1, -(-total // block_rows))
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        return _pack_block(frame, document_share, cost_share)
+        return _pack_block(frame, spread, score)
 
     first = materialize(
         each.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
