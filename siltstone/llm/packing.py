@@ -90,6 +90,8 @@ def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float,
         room[:, at] -= need
         np.maximum(room[:, at], 0.0, out=room[:, at])
         if room[0, at] < least - 1e-12 or room[1, at] < 0.5 / max_documents or (least > 0 and room[0, at] < 0.5 / capacity):
+            if tally is not None and room[0, at] >= least - 1e-12 and room[1, at] < 0.5 / max_documents:
+                tally["documents"] = tally.get("documents", 0) + 1  # full by number while there is room
             used -= 1  # nothing that comes later fits: the last open container takes its place
             room[:, at] = room[:, used]
             name[at] = name[used]
