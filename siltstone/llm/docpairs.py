@@ -1,11 +1,13 @@
 """Problem 2: functions paired with their documentation.
 
 Each file is lexed; functions and methods, and comments (or docstrings) that may document one, are
-found among the tokens, never inside strings or comments.  Candidate links get a score from their
-distance, the parameters that the tags name and the mention of the function's name; a bipartite
-assignment picks the links of greatest total score, so that no comment documents two functions.
-Implausible links (anything but attributes or annotations between the two, or a blank line) and
-uninformative descriptions are rejected.
+found among the tokens, never inside strings or comments.  A function has several candidates: the
+comments above it, also beyond a blank line or another comment, the first one in its body and one
+that trails its head.  Each link has a score from its place and distance, the parameters that the
+tags name and the mention of the function's name; links below ``LEAST`` are rejected, and a bipartite
+assignment (Hungarian method, whatever the size of a component) picks links of greatest total score,
+so that no comment documents two functions.  An exact check follows: the pairs given out are those
+whose comment stands where problem 2 wants documentation to stand and whose description informs.
 
 Defined results: null and empty content and files that problem 6 finds hold no pairs; of the rows
 of one file the latest counts; repeated rows count once; an empty table gives an empty table; other
@@ -15,7 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from itertools import permutations
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -311,40 +313,152 @@ def informative(text: str, name: str) -> bool:
 _TAG = re.compile(r"@param\s+(?:\{[^}]*\}\s*)?\[?(\w+)|^\s*(\w+)\s*(?:\([^)]*\))?:", re.M)
 
 
+#: What a link is worth by the place of its comment, and the least that is plausible.
+PLACES = {"own": 3.0, "above": 1.6, "inside": 1.4, "trailing": 1.2}
+LEAST = 1.0
+
+
+def score(doc: str, place: str, gap: int, name: str, params: list[str]) -> float:
+    """How plausible it is that ``doc`` documents the function.
+
+    Tags that name none of the parameters speak against a link, so a comment that stands near loses
+    to one further off that describes the function, if both can be had.
+    """
+    tags = {a or b for a, b in _TAG.findall(doc)} if ("@param" in doc or ":" in doc) else None
+    total = PLACES[place] - 0.2 * min(max(gap - 1, 0), 10)
+    if tags:
+        total += 2.0 * len(tags & set(params)) / len(tags) if params else 0.0
+        if "@param" in doc and tags.isdisjoint(params):
+            total -= 1.5
+    return total + 0.5 * (name in doc)
+
+
 def _assign(scores: dict[tuple[int, int], float]) -> dict[int, int]:
     """Bipartite assignment of greatest total score: function -> comment."""
+    by_function: dict[int, list[int]] = {}
+    by_comment: dict[int, list[int]] = {}
+    for f, c in scores:
+        by_function.setdefault(f, []).append(c)
+        by_comment.setdefault(c, []).append(f)
     out: dict[int, int] = {}
-    left = dict(scores)
-    while left:
-        # components are tiny: a comment stands before at most a few functions
-        f0, c0 = next(iter(left))
-        fs, cs, grown = {f0}, {c0}, True
-        while grown:
-            more = [(f, c) for f, c in left if f in fs or c in cs]
-            grown = len({f for f, _ in more}) > len(fs) or len({c for _, c in more}) > len(cs)
-            fs, cs = {f for f, _ in more}, {c for _, c in more}
-        part = {k: left.pop(k) for k in more}
-        if len(fs) == 1:
-            f, c = max(part, key=part.get)
-            out[f] = c
-        elif len(cs) == 1 or max(len(fs), len(cs)) > 6:
-            taken: set = set()
-            for (f, c), _ in sorted(part.items(), key=lambda x: (-x[1], x[0])):
-                if f not in out and c not in taken:
-                    out[f] = c
-                    taken.add(c)
-        else:
-            order = sorted(cs)
-            pad = order + [-1] * len(fs)
-            best, choice = -1e9, ()
-            for p in set(permutations(pad, len(fs))):
-                total = sum(part.get((f, c), 0.0 if c == -1 else -1e3) for f, c in zip(sorted(fs), p))
-                if total > best:
-                    best, choice = total, p
-            out.update({f: c for f, c in zip(sorted(fs), choice) if c != -1})
+    done: set[int] = set()
+    for start, first in by_function.items():
+        if start in done:
+            continue
+        if len(first) == 1 and len(by_comment[first[0]]) == 1:
+            out[start] = first[0]
+            continue
+        fs, cs, work = [], set(), [start]
+        done.add(start)
+        while work:
+            f = work.pop()
+            fs.append(f)
+            for c in by_function[f]:
+                if c not in cs:
+                    cs.add(c)
+                    for other in by_comment[c]:
+                        if other not in done:
+                            done.add(other)
+                            work.append(other)
+        columns = sorted(cs)
+        rows = sorted(fs)
+        # one column more for each function that goes without
+        cost = [[-scores.get((f, c), -1e6) for c in columns] + [0.0] * len(rows) for f in rows]
+        for f, at in zip(rows, _hungarian(cost)):
+            if at < len(columns) and (f, columns[at]) in scores:
+                out[f] = columns[at]
     return out
 
 
+def _hungarian(cost: list[list[float]]) -> list[int]:
+    """Column of each row in an assignment of least cost, by shortest augmenting paths; no fewer columns than rows."""
+    n, m = len(cost), len(cost[0])
+    row_price, column_price = [0.0] * n, [0.0] * m
+    holder = [-1] * m
+    for start in range(n):
+        best, via, open_ = [float("inf")] * m, [-1] * m, set(range(m))
+        row, column = start, -1
+        while True:
+            step, nearest = float("inf"), -1
+            for j in open_:
+                slack = cost[row][j] - row_price[row] - column_price[j]
+                if slack < best[j]:
+                    best[j], via[j] = slack, column
+                if best[j] < step:
+                    step, nearest = best[j], j
+            row_price[start] += step
+            for j in range(m):
+                if j in open_:
+                    best[j] -= step
+                else:
+                    row_price[holder[j]] += step
+                    column_price[j] -= step
+            column = nearest
+            open_.discard(column)
+            if holder[column] < 0:
+                break
+            row = holder[column]
+        while column >= 0:
+            holder[column] = holder[via[column]] if via[column] >= 0 else start
+            column = via[column]
+    out = [-1] * n
+    for j, i in enumerate(holder):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
+def _candidates(text, family, tokens, fn, line_of, comments: list[int]) -> list[tuple[int, int, str, int]]:
+    """(start, end, place, gap) of the comments that may document ``fn``; the one that stands where
+    documentation should comes first, as "own"."""
+    out = []
+    own = _block(text, family, tokens, fn, line_of) if fn.comments else None
+    head = line_of(tokens[fn.first][1])
+    if own:
+        out.append((*own, "own", 0))
+    if not comments:
+        return out
+    if family != "py":
+        seen = 0
+        for i in fn.comments:  # nearest first
+            _, a, b = tokens[i]
+            if own and a < own[1]:
+                if a >= own[0]:
+                    continue
+            seen += 1
+            if seen > 2:
+                break
+            if not text[text.rfind("\n", 0, a) + 1 : a].strip():
+                out.append((a, b, "above", head - line_of(b - 1)))
+    at = bisect_right(comments, fn.at)
+    if at < len(comments) and comments[at] < fn.last:
+        i = comments[at]
+        _, a, b = tokens[i]
+        previous = text[tokens[i - 1][1] : tokens[i - 1][2]]
+        if previous in ("{", ":"):
+            same = line_of(a) == line_of(tokens[i - 1][1])
+            out.append((a, b, "trailing" if same else "inside", 0))
+    return out
+
+
+def links(text: str, family: str, tokens: list, todo: list[Function], line_of) -> tuple[dict[int, int], dict[int, tuple[int, int]], dict[int, int]]:
+    """(function -> start of its comment, start -> span, function -> start of the comment where one should stand)."""
+    comments = [i for i, t in enumerate(tokens) if t[0] == "c"]
+    spans: dict[int, tuple[int, int]] = {}
+    scores: dict[tuple[int, int], float] = {}
+    wanted: dict[int, int] = {}
+    for f, fn in enumerate(todo):
+        for a, b, place, gap in _candidates(text, family, tokens, fn, line_of, comments):
+            if place == "own":
+                wanted[f] = a
+                spans[a] = (a, b)
+            worth = score(text[a:b], place, gap, fn.name, fn.params)
+            if worth >= LEAST:
+                spans.setdefault(a, (a, b))
+                scores[(f, a)] = max(worth, scores.get((f, a), 0.0))
+    return _assign(scores), spans, wanted
+
+
 def pairs(text: str | None, path: str | None, check: bool = True, trivial: bool = False) -> list[tuple[int, int, str, str, str, int, int]]:
     """(line, documentation line, name, description, code, documentation lines, code lines)."""
     ext = extension(path)
@@ -354,23 +468,11 @@ def pairs(text: str | None, path: str | None, check: bool = True, trivial: bool
     tokens = lex(text, family)
     line_of = _lines(text)
     todo = functions(text, family, tokens)
-    blocks: dict[int, tuple[int, int]] = {}
-    scores: dict[tuple[int, int], float] = {}
-    for f, fn in enumerate(todo):
-        if not fn.comments:
-            continue
-        block = _block(text, family, tokens, fn, line_of)
-        if block is None:
-            continue
-        key = block[0]
-        blocks[key] = block
-        doc = text[block[0] : block[1]]
-        tags = {a or b for a, b in _TAG.findall(doc)}
-        gap = abs(line_of(tokens[fn.first][1]) - line_of(block[1] - 1))
-        shared = len(tags & set(fn.params)) / max(1, len(tags)) if tags else 0.0
-        scores[(f, key)] = 2.0 - 0.1 * min(gap, 10) + shared + 0.5 * (fn.name in doc)
+    chosen, blocks, wanted = links(text, family, tokens, todo, line_of)
     out = []
-    for f, key in _assign(scores).items():
+    for f, key in chosen.items():
+        if wanted.get(f) != key:
+            continue
         fn = todo[f]
         a, b = blocks[key]
         words = description(text[a:b] if family in ("py", "js", "java") else _joined(text[a:b]), family)

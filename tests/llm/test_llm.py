@@ -64,6 +64,38 @@ def test_pairs_by_language():
     assert found("a.js", js + "}") == []  # does not parse
 
 
+def linked(path, text):
+    family = docpairs.FAMILY[docpairs.extension(path)]
+    tokens = docpairs.lex(text, family)
+    todo = docpairs.functions(text, family, tokens)
+    line_of = docpairs._lines(text)
+    return {todo[f].name: line_of(a) for f, a in docpairs.links(text, family, tokens, todo, line_of)[0].items()}
+
+
+def test_links_by_assignment():
+    # the nearest comment names parameters of something else; the one beyond it describes the function
+    text = "/**\n * Moves add on by a step.\n * @param left one\n * @param right other\n */\n\n/**\n * @param url where\n */\nfunction add(left, right) { return left + right; }\n"
+    assert linked("a.js", text) == {"add": 1}
+    # a comment in the body, one that trails the head, and none at all
+    assert linked("a.js", "function a() {\n  // counts what there is\n  return 1;\n}\nfunction b() { // counts the rest\n  return 2;\n}\nfunction c() {}\n") == {"a": 2, "b": 5}
+    # far away and about something else: rejected
+    assert linked("a.js", "// one\n\n\n\n\n\nfunction a() {}\n") == {}
+    # nested functions want the same comment: it goes to one of them
+    text = "// outer counts all things\nfunction outer() {\n  // inner counts one thing\n  function inner() {}\n}\n"
+    assert linked("a.js", text) == {"outer": 1, "inner": 3}
+
+
+def test_assignment_is_best():
+    r = random.Random(8)
+    for _ in range(60):
+        n, m = r.randint(1, 5), r.randint(1, 5)
+        scores = {(f, c): r.random() for f in range(n) for c in range(m) if r.random() < 0.6}
+        got = docpairs._assign(scores)
+        assert len(set(got.values())) == len(got) and all(x in scores for x in got.items())
+        best = max(sum(scores.get((f, c), -9) for f, c in enumerate(p) if c < m) for p in itertools.permutations(range(m + n), n))
+        assert abs(sum(scores[x] for x in got.items()) - best) < 1e-9
+
+
 def test_tags_and_names_are_trivial():
     assert not docpairs.informative(docpairs.description("/** @param a one two three four */", "js"), "f")
     assert not docpairs.informative("merge one two three", "mergeOneTwoThree")
