@@ -28,6 +28,9 @@ BODY = "id bigint, text string"
         ("a.js", "o/r", "x = 'Code generated by y v1. DO NOT EDIT.';\n", None),
         ("a.js", "o/r", "var a=1;function b(c){return c};" * 40, "minified"),
         ("a.py", "o/r", "x = [" + ", ".join(map(str, range(10000, 10300))) + "]\n", "data"),
+        ("a.json", "o/r", '{"name": "' + "x" * 900 + '", "lockfileVersion": 3}', "lock"),
+        ("a.json", "o/r", '{"name": "the \\"lockfileVersion\\": key"}', None),
+        ("a.go", "o/r", "package a\n" + "var x = 1\n" * 3 + "\n" * 60 + "// Code generated by x-gen v1.2. DO NOT EDIT.\n" + "\n" * 30 + "var y = 2\n", "generated"),
         ("a.py", "o/r", None, None),
         ("a/vendor/b.py", "o/r", "", None),
         (None, None, "x = 1", None),
@@ -37,6 +40,14 @@ def test_provenance(path, repo, text, reason):
     assert provenance.judge(path, repo, text) == reason
 
 
+def test_canonical_layout():
+    lines = lambda x, f: provenance.canonical(x, docpairs.lex(x, f), f)
+    short = "function f(a,b){for(let i=0;i<3;i++){g(a[i]);}return b}"
+    long = "// says what\nfunction f(a, b) {\n  for (let i = 0; i < 3; i++) {\n    g(a[i]);\n  }\n  return b\n}\n"
+    assert lines(short, "js") == lines(long, "js") and len(lines(short, "js")) == 6
+    assert lines("x = [1,\n 2]\ny = 3\n", "py") == lines("x = [1, 2]\n\ny = 3", "py") and lines("", "py") == []
+
+
 def test_provenance_table(spark):
     rows = [(1, "o/r", "vendor/a.js", "x", None), (1, "o/r", "vendor/a.js", "x", None), (2, None, None, None, None)]
     df = spark.createDataFrame(rows, "file_id bigint, repo string, path string, content string, ingested_at timestamp")
@@ -174,7 +185,7 @@ def test_spans(spark):
 
 
 # ---- 5
-def test_similar(spark):
+def test_similar(spark, monkeypatch):
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
     rows, n = [], 0
@@ -202,6 +213,9 @@ def test_similar(spark):
         got = {tuple(sorted(p)) for x in links.collect() for p in itertools.product(of[x.a], of[x.b])}
         got |= {p for ids in of.values() for p in itertools.combinations(sorted(ids), 2)}
         assert got == want
+        monkeypatch.setattr(neardup, "PART", 9)  # classes of several parts
+        rows = [tuple(x) for x in neardup.expanded(links, members).collect()]
+        assert set(rows) == want and len(rows) == len(want)
     links, members = neardup.similar(df.where("false"))
     assert links.count() == 0 and members.count() == 0
 
@@ -217,6 +231,10 @@ def test_tree_keeps_every_pair():
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i, j in itertools.combinations(range(300), 2) if neardup.overlap(points[i], points[j]) >= neardup.needed(n[i] + n[j])}
     assert got == want and (0, 150) in got
+    points = r.poisson(r.uniform(0.1, 8, (300, 1)), (300, neardup.DIMENSIONS)).astype("<u2")
+    tree = neardup.Tree(points.sum(1).astype(np.int64), points)
+    tree.pairs(0.6)
+    assert tree.cut > 0 and tree.tested < 300 * 299 / 2  # whole boxes were left out where sizes differ
 
 
 # ---- 6
