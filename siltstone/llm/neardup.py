@@ -39,7 +39,10 @@ THRESHOLD = 0.6
 DIMENSIONS = 128
 RARITY = 1 << 16
 BLOCK = 50_000
-LEAF = 24
+#: Records of a leaf, which are compared with each other, and children of an inner box.
+LEAF = 4
+#: Records of one block of a class of copies.
+PART = 1000
 
 _WORD = re.compile(r"[^\W_]+")
 _known: dict[str, int] = {}
@@ -93,6 +96,7 @@ class Tree:
 
     def __init__(self, n: np.ndarray, points: np.ndarray, fan: int = LEAF):
         self.fan, self.n, self.points = fan, n, points
+        self.tested = self.cut = 0  # pairs of boxes or points that were compared, and those left out
         self.order = np.lexsort((points.argmax(1), n))
         self.levels = [(n[self.order], points[self.order])]
         while len(self.levels[-1][0]) > 1:
@@ -116,6 +120,8 @@ class Tree:
                     i, j = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
                     ok = overlap(corner[i], corner[j]) >= needed(size[i] + size[j], t)
                     chunks.append((i[ok], j[ok]))
+                    self.tested += len(i)
+                    self.cut += len(i) - int(ok.sum())
             a = np.concatenate([c[0] for c in chunks]) if chunks else np.empty(0, np.int64)
             b = np.concatenate([c[1] for c in chunks]) if chunks else np.empty(0, np.int64)
         if len(self.levels) == 1:
@@ -384,19 +390,37 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_a, id_b) of every pair of prompts whose similarity is at least 0.6."""
     links, members = similar(records(spark, sf_dir))
-    a = members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
-    b = members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-    across = links.join(a, "a").join(b, "b").select("i", "j")
-    # the pairs of a class are made in as many tasks as its size asks for
-    sizes = members.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / 1000).cast("int")
-    several = members.join(sizes, "rep").withColumn("parts", parts)
-    one = several.select("rep", F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    all_ = several.select("rep", F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    inside = one.join(all_, ["rep", "part"]).where("i < j")
-    return across.unionByName(inside.select("i", "j")).select(
-        F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")
+    return expanded(links, members)
+
+
+def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id_a, id_b) of every pair of records that are copies or whose representatives are linked.
+
+    Classes are held in parts of about ``PART`` records; each pair of parts is a row of its own, and
+    these rows are spread evenly before they are expanded, so that no class burdens one task.
+    """
+    sizes = members.groupBy("rep").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("m"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    held = members.join(sizes, "rep").select("rep", "id", part).groupBy("rep", "part").agg(F.collect_list("id").alias("ids"))
+    within = sizes.where("m > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    n = sizes.select("rep", "parts")
+    blocks = (
+        links.select("a", "b")
+        .unionByName(within)
+        .join(n.select(F.col("rep").alias("a"), F.col("parts").alias("na")), "a")
+        .join(n.select(F.col("rep").alias("b"), F.col("parts").alias("nb")), "b")
+        .select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"))
+        .select("a", "b", "pa", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"))
+        .where("a <> b or pa <= pb")
+    )
+    filled = blocks.join(held.select(F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("ids").alias("left")), ["a", "pa"]).join(
+        held.select(F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("ids").alias("right")), ["b", "pb"]
+    )
+    rows = filled.repartition(F.xxhash64("a", "pa", "b", "pb")).select(
+        "left", ((F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))).alias("same"), F.explode("right").alias("j")
     )
+    each = rows.select("same", "j", F.explode("left").alias("i")).where("not same or i < j")
+    return each.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
