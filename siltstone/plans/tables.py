@@ -2,8 +2,8 @@
 
 A plan that uses one expensive result twice writes it to the shared folder named by
 ``spark.checkpoint.dir`` (all executors see that folder, so a lost executor costs a re-read and
-never a re-computation).  Only where the setting is absent, as in tests, a temporary folder is
-used.
+never a re-computation).  Only where the setting is absent and the session is local, as in tests, a
+temporary folder is used; on a cluster its absence is an error, for no machine sees another's disk.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     folder = spark.conf.get("spark.checkpoint.dir", conf)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
