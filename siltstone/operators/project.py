@@ -29,6 +29,12 @@ EVIDENCE = {
     "completeness": r"(?i)edge.?case|boundary|corner.?case|/\*\*",
 }
 _WORDS = "|".join(w for ws in CLAIMS.values() for w in sorted(ws, key=len, reverse=True))
+
+
+def _words_of(category: str) -> str:
+    return rf"\b(?:{'|'.join(sorted(CLAIMS[category], key=len, reverse=True))})\b"
+
+
 #: What counts as an export, per language (without lookahead, for both engines).
 EXPORTS = {
     "js": r"export\s+(?:function|class|const|let|var|default|async\s+function)|export\s*\{[^}]+\}|module\.exports\s*=|exports\.\w+\s*=",
@@ -61,15 +67,20 @@ def over_engineering(spark: SparkSession, sf_dir: str, most_files: int = 20, mos
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' lines with a claim word: how many, and how many of them state it as a fact, by category."""
+    """By category of claim: lines with such a word, the words in them, lines that state it as a fact, and documents.
+
+    A line takes part in every category that it has a word of; words of one category count once
+    per place, the longest first.
+    """
     d = scan(spark, sf_dir, "documents", "doc_id", "repo", "text")
     line = d.select("doc_id", "repo", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    category = F.lit(None).cast("string")
-    for name, words in reversed(CLAIMS.items()):
-        category = F.when(F.col("line").rlike(java(rf"\b(?:{'|'.join(words)})\b", True)), name).otherwise(category)
+    count = lambda c: F.regexp_count("line", F.lit(java(_words_of(c), True)))
+    hits = F.filter(F.array(*(F.struct(F.lit(c).alias("category"), count(c).alias("n")) for c in CLAIMS)), lambda x: x["n"] > 0)
     positive = F.col("line").rlike(java(CLAIMING, True)) & ~F.col("line").rlike(java(NOT_CLAIMING, True))
-    return line.where(F.col("line").rlike(java(rf"\b(?:{_WORDS})\b", True))).groupBy(category.alias("category")).agg(
-        F.count("*").alias("lines"), F.count_if(positive).alias("positive"), F.countDistinct("doc_id").alias("documents")
+    claiming = line.where(F.col("line").rlike(java(rf"\b(?:{_WORDS})\b", True)))
+    each = claiming.select("doc_id", positive.alias("positive"), F.explode(hits).alias("x"))
+    return each.groupBy("x.category").agg(
+        F.count("*").alias("lines"), F.sum("x.n").alias("words"), F.count_if("positive").alias("positive"), F.countDistinct("doc_id").alias("documents")
     )
 
 
@@ -101,7 +112,7 @@ def repository_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(main, "repo")
 
 
-_CASE = " ".join(f"when regexp_matches(line, {quote(re2(chr(92) + 'b(?:' + '|'.join(w) + ')' + chr(92) + 'b', True))}) then '{c}'" for c, w in CLAIMS.items())
+_EACH = " union all ".join(f"select '{c}' as category, doc_id, line, len(regexp_extract_all(line, {quote(re2(_words_of(c), True))})) as n from l" for c in CLAIMS)
 _COUNT = " ".join(f"when '{k}' then len(regexp_extract_all(content, {quote(v)}))" for k, v in EXPORTS.items())
 _IS_TEST = "(regexp_matches(path, '\\.test\\.[jt]sx?$') or regexp_matches(path, '\\.spec\\.[jt]sx?$') or regexp_matches(path, '_tests?\\.(go|rs|py)$') or regexp_matches(path, 'test_.*\\.py$') or regexp_matches(path, '__tests__') or regexp_matches(path, '(?i)tests?/'))"
 QUERIES = {"over_engineering": over_engineering, "claims": claims, "claim_gaps": claim_gaps, "repository_health": repository_health}
@@ -109,9 +120,9 @@ ORACLES = {
     "over_engineering": f"""with {LATEST_FILES}, f as (select *, {LANGUAGE_SQL} as lang from latest_files where content <> '' and not {_IS_TEST}),
 p as (select repo, count(*) as files, sum(len(string_split(content, chr(10))))::bigint as lines, greatest(sum(case lang {_COUNT} end), 1)::bigint as exports, max(len(string_split(path, '/')) - 1)::int as depth from f group by repo)
 select *, files / exports as files_per_export, lines / exports as lines_per_export, case when files / exports > 40 or lines / exports > 1000 or depth > 6 then 'high' when files / exports > 20 or lines / exports > 500 or depth > 4 then 'medium' else 'ok' end as verdict from p""",
-    "claims": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)
-select case {_CASE} end as category, count(*) as lines, count(*) filter (regexp_matches(line, {quote(re2(CLAIMING, True))}) and not regexp_matches(line, {quote(re2(NOT_CLAIMING, True))})) as positive, count(distinct doc_id) as documents
-from l where regexp_matches(line, {quote(re2(chr(92) + 'b(?:' + _WORDS + ')' + chr(92) + 'b', True))}) group by 1""",
+    "claims": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents), e as ({_EACH})
+select category, count(*) as lines, sum(n)::bigint as words, count(*) filter (regexp_matches(line, {quote(re2(CLAIMING, True))}) and not regexp_matches(line, {quote(re2(NOT_CLAIMING, True))})) as positive, count(distinct doc_id) as documents
+from e where n > 0 group by category""",
     "repository_health": f"""with {LATEST_FILES}, n as (select repo, {LANGUAGE_SQL} as lang, count(*) as n from latest_files group by all),
 m as (select repo, lang as main_lang from (select *, row_number() over (partition by repo order by n desc, lang) as rn from n) where rn = 1)
 select repo, count(*) as files, count(*) filter ({_IS_TEST}) as tests, bool_or(regexp_matches(path, '\\.(ya?ml|toml|json)$')) as has_config, bool_or(regexp_matches(path, '\\.(sh|bash)$')) as has_scripts, count(error) as unreadable, any_value(main_lang) as main_lang

@@ -147,6 +147,59 @@ DOCUMENT_RULES = {
 }
 
 
+LINES = Both(lambda: F.size(F.split("content", "\n", -1)), "len(string_split(content, chr(10)))")
+LENGTH = Both(lambda: F.length("content"), "length(content)")
+
+
+def times(a: Both, n: int) -> Both:
+    return Both(lambda: a.column * n, f"({a.sql} * {n})")
+
+
+def less(a: Both, b: Both) -> Both:
+    return Both(lambda: a.column < b.column, f"({a.sql} < {b.sql})")
+
+
+def at_most(n: int, b: Both) -> Both:
+    return Both(lambda: F.least(b.column, F.lit(n)), f"least({b.sql}, {n})")
+
+
+#: Phrases and expressions of the rules below.
+VAGUE_IN_PROMPTS = (*VAGUE, "when appropriate", "as needed")
+DIRECTIVES = tuple(rf"\b{w},?\s+(?:you\s+)?(?:must|should|need to)\b" for w in ("first", "then", "next", "finally"))
+OBVIOUS = (r"\bthis is a (?:node|python|rust|go|java)\s+project\b", r"\bwe use (?:npm|yarn|pnpm|pip|cargo)\b", r"\bthe (?:src|lib|test) folder contains\b", r"\bstandard (?:REST|HTTP|JSON) conventions\b", r"\bfollow (?:PEP|ESLint|standard) (?:style|conventions)\b", r"\bwrite clean code\b", r"\buse meaningful variable names\b", r"\bcomment your code\b", r"\bhandle errors appropriately\b")
+EVIDENT = (r"\bwrite tests\b", r"\bfollow best practices\b", r"\bbe consistent\b", r"\buse descriptive names\b", r"\bavoid code duplication\b", r"\bkeep functions small\b", r"\bsingle responsibility\b", r"\bDRY principle\b")
+FILLERS = (r"in this (?:document|section|guide)", r"as you (?:can see|may know|probably know)", r"it(?:'s| is) (?:important|worth noting) (?:to note |that )?", r"please note that", r"the following (?:section|document|guide) (?:will |provides )", r"let(?:'s| us) (?:take a look|explore|dive into)", r"we(?:'ll| will) (?:cover|discuss|explore)", r"this allows you to", r"you(?:'ll| will) (?:learn|discover|find)", r"as mentioned (?:earlier|above|before)")
+
+_SHOWN = total(count(r"##\s*example"), count(r"<good[_-]?example>"), count(r"<bad[_-]?example>"), count("<example>"))
+_DEEP = count(r"^(?:\s{8,}[-*]|\t{3,}[-*])", False, True)
+_STATED = count(r"must|never|always|do not|required|important")
+#: Rules about the text of any prompt, agent or skill.
+PROMPT_RULES = {
+    "vague_instructions": ("HIGH", total(*(count(rf"\b{t}\b") for t in VAGUE_IN_PROMPTS)).at_least(4)),
+    "missing_xml_structure": ("LOW", (TOKENS.at_least(801) | (count(r"^#{1,6}\s+", False, True).at_least(6) & _FENCE)) & ~has(r"<[a-z_][a-z0-9_-]*>")),
+    "inconsistent_sections": ("LOW", count(r"^##\s+", False, True).at_least(2) & count(r"^\*\*[^*\n]+\*\*\s*$", False, True).at_least(2)),
+    "suboptimal_example_count": ("LOW", _SHOWN.equals(1) | _SHOWN.at_least(8)),
+    "examples_without_contrast": ("MEDIUM", count(r"<example>|##\s*example").at_least(3) & ~has(r"<good[_-]?example>|\bgood example\b|\bcorrect\b") & ~has(r"<bad[_-]?example>|\bbad example\b|\bincorrect\b|\bwrong\b")),
+    "overly_prescriptive": ("LOW", count(r"^\s*\d+\.\s+\w+", False, True).at_least(10) | total(*(count(p) for p in DIRECTIVES)).at_least(6)),
+    "prompt_bloat": ("LOW", TOKENS.at_least(2501)),
+    "aggressive_emphasis": ("HIGH", total(*(count(p, False) for p in EMPHASIS)).at_least(3)),
+    "redundant_cot": ("HIGH", count(COT).at_least(2)),
+}
+#: Rules about a project's memory, the guide that every session reads.
+MEMORY_RULES = {
+    "missing_critical_rules": ("HIGH", ~has(r"##\s+critical\s+rules|##\s+priority\s+rules|<critical-rules>|##\s+must[- ]know")),
+    "missing_architecture": ("HIGH", ~has(r"##\s+architecture|##\s+(?:project\s+)?structure|##\s+overview") & ~(_FENCE & has(r"├──|└──|lib\/|src\/", False))),
+    "missing_key_commands": ("HIGH", ~has(r"##\s+(?:key\s+)?commands|##\s+scripts|##\s+usage") & ~(has("```(?:bash|sh|shell)") & has(r"\b(?:npm|yarn|pnpm|git|make)\b"))),
+    "verbose_instructions": ("MEDIUM", less(times(LINES, 81), total(LENGTH, Both(lambda: F.lit(1), "1"))) & count(r"[^\n]{200,}", False).at_least(4)),
+    "missing_why": ("MEDIUM", _STATED.at_least(6) & less(times(count(r"\*WHY:|WHY:|because|reason:|rationale:"), 3), _STATED)),
+    "example_overload": ("LOW", total(count(r"```[\s\S]*?```", False), count(r"##\s+example"), count(r"<(?:good-)?example>")).at_least(11)),
+    "deep_nesting": ("LOW", count("^#####", False, True).at_least(3) | _DEEP.at_least(6) | (count("^####", False, True).at_least(6) & _DEEP.at_least(4))),
+    "includes_obvious_information": ("MEDIUM", total(*(one(has(p)) for p in OBVIOUS)).at_least(3)),
+    "missing_emphasis_markers": ("MEDIUM", count(r"\b(?:never|always|required|must not)\b").at_least(6) & count(r"\b(?:IMPORTANT|CRITICAL|MUST|YOU MUST|NEVER)\b", False).below(2)),
+    "self_evident_practices": ("LOW", total(*(one(has(p)) for p in EVIDENT)).at_least(4)),
+    "unnecessary_prose": ("HIGH", total(*(at_most(2, count(p)) for p in FILLERS)).at_least(3)),
+}
+
 def check(df: DataFrame, id_column: str, rules: dict[str, tuple[str, Both]]) -> DataFrame:
     """(id, rule, certainty) of every rule that a text breaks; ``df`` has content and, for prompts, front matter."""
     broken = F.array_compact(
@@ -176,6 +229,17 @@ def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check(scan(spark, sf_dir, "documents", "doc_id", F.col("text").alias("content")), "doc_id", DOCUMENT_RULES)
 
 
+def prompt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules about prompt texts that agents and skills break."""
+    both = _prompts(spark, sf_dir, "agents").unionByName(_prompts(spark, sf_dir, "skills"))
+    return check(both, "prompt_id", PROMPT_RULES)
+
+
+def memory_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules about project memory, asked of every document that has text."""
+    return check(scan(spark, sf_dir, "documents", "doc_id", F.col("text").alias("content")).where("text <> ''"), "doc_id", MEMORY_RULES)
+
+
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of agents and skills by certainty, pivoted, with their total."""
     both = agent_rules(spark, sf_dir).withColumn("kind", F.lit("agent")).unionByName(skill_rules(spark, sf_dir).withColumn("kind", F.lit("skill")))
@@ -192,11 +256,13 @@ def _p(table: str) -> str:
     return f"p as (select prompt_id, frontmatter, coalesce(content, '') as content from (select *, row_number() over (partition by prompt_id order by ingested_at desc) as rn from {table}) where rn = 1)"
 
 
-QUERIES = {"agent_rules": agent_rules, "skill_rules": skill_rules, "document_rules": document_rules, "rule_summary": rule_summary}
+QUERIES = {"agent_rules": agent_rules, "skill_rules": skill_rules, "document_rules": document_rules, "prompt_rules": prompt_rules, "memory_rules": memory_rules, "rule_summary": rule_summary}
 ORACLES = {
     "agent_rules": f"with {_p('agents')} {_sql('prompt_id', AGENT_RULES)}",
     "skill_rules": f"with {_p('skills')} {_sql('prompt_id', SKILL_RULES)}",
     "document_rules": f"with p as (select doc_id, coalesce(text, '') as content from documents) {_sql('doc_id', DOCUMENT_RULES)}",
+    "prompt_rules": f"with a as (with {_p('agents')} select prompt_id, content from p), s as (with {_p('skills')} select prompt_id, content from p), p as (select * from a union all select * from s) {_sql('prompt_id', PROMPT_RULES)}",
+    "memory_rules": f"with p as (select doc_id, text as content from documents where text <> '') {_sql('doc_id', MEMORY_RULES)}",
     "rule_summary": f"""with f as (select 'agent' as kind, * from (with {_p('agents')} {_sql('prompt_id', AGENT_RULES)}) union all select 'skill', * from (with {_p('skills')} {_sql('prompt_id', SKILL_RULES)}))
 select kind, count(*) filter (certainty = 'HIGH') as high, count(*) filter (certainty = 'MEDIUM') as medium, count(*) filter (certainty = 'LOW') as low, count(*) as total, count(distinct prompt_id) as prompts from f group by kind""",
 }
