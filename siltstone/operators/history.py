@@ -27,10 +27,12 @@ def co_changed(touched: DataFrame, least: int = 2, most: int = 20, threshold: in
 
     Commits of fewer than ``least`` or more than ``most`` files say nothing about coupling, and the
     upper bound is part of the definition; it also bounds the pairs of a commit (190), which are
-    made within one row of its files, not by a join.
+    made within one row of its files, not by a join.  Files are counted before they are collected, so
+    a commit of a million files is never one row.
     """
-    grouped = touched.groupBy("repo", "hash").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    chosen = grouped.where(F.size("paths").between(least, most))
+    each = touched.select("repo", "hash", "path").distinct()
+    sized = each.groupBy("repo", "hash").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
+    chosen = each.join(sized, ["repo", "hash"], "left_semi").groupBy("repo", "hash").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     pairs = F.flatten(
         F.transform("paths", lambda a, i: F.transform(F.slice("paths", i + 2, most), lambda b: F.struct(a.alias("file_a"), b.alias("file_b"))))
     )

@@ -102,7 +102,7 @@ def finding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by severity, by certainty, by fix, by rule and in all; known severities are zero-filled."""
     found = scan_findings(spark, sf_dir).select("severity", "certainty", "fix", "rule")
-    sets = found.cube("severity", "certainty", "fix", "rule").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    sets = found.groupingSets([[], ["severity"], ["certainty"], ["fix"], ["rule"]], "severity", "certainty", "fix", "rule").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     names = F.create_map(*(F.lit(x) for kv in ((15, "total"), (7, "severity"), (11, "certainty"), (13, "fix"), (14, "rule")) for x in kv))
     kept = sets.where(F.col("g").isin(15, 7, 11, 13, 14)).select(
         names[F.col("g").cast("int")].alias("dimension"),

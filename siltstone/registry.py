@@ -18,6 +18,7 @@ MODULES: tuple[str, ...] = (
     "operators.prompt_rules",
     "operators.suppression",
     "operators.project",
+    "operators.fixers",
     "operators.reports",
 )
 
